@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from relengine.llm.op1_token_files import op1_token_files
 from relengine.llm.op6_bpe import op6_bpe
 from relengine.llm.op8_token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
     "op6_bpe": op6_bpe,
     "op8_token_counts": op8_token_counts,
 }
