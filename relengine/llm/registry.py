@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relengine.llm.op1_token_files import op1_token_files
+from relengine.llm import op3_exact_dedup as op3
 from relengine.llm.op6_bpe import op6_bpe
 from relengine.llm.op8_token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_exact_dedup": op3.op3_exact_dedup,
     "op6_bpe": op6_bpe,
     "op8_token_counts": op8_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": op3.ORACLE,
+}
