@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relengine.llm.op1_token_files import op1_token_files
+from relengine.llm import op2_mix as op2
 from relengine.llm import op3_exact_dedup as op3
 from relengine.llm.op5_quality_rules import op5_quality_rules
 from relengine.llm.op6_bpe import op6_bpe
@@ -14,6 +15,7 @@ from relengine.llm.op8_token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_mix": op2.op2_mix,
     "op3_exact_dedup": op3.op3_exact_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
@@ -21,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix": op2.ORACLE,
     "op3_exact_dedup": op3.ORACLE,
 }
