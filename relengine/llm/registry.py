@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from relengine.llm.op1_token_files import op1_token_files
 from relengine.llm import op2_mix as op2
 from relengine.llm import op3_exact_dedup as op3
+from relengine.llm import op10_warc as op10
 from relengine.llm.op5_quality_rules import op5_quality_rules
 from relengine.llm.op6_bpe import op6_bpe
 from relengine.llm.op8_token_counts import op8_token_counts
@@ -20,9 +21,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
     "op8_token_counts": op8_token_counts,
+    "op10_warc": op10.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mix": op2.ORACLE,
     "op3_exact_dedup": op3.ORACLE,
+    "op10_warc": op10.ORACLE,
 }
