@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relengine.llm.op1_token_files import op1_token_files
 from relengine.llm import op2_mix as op2
 from relengine.llm import op3_exact_dedup as op3
 from relengine.llm import op10_warc as op10
+from relengine.llm.op1_token_files import op1_token_files
+from relengine.llm.op4_quality_classifier import op4_quality_classifier
 from relengine.llm.op5_quality_rules import op5_quality_rules
 from relengine.llm.op6_bpe import op6_bpe
 from relengine.llm.op8_token_counts import op8_token_counts
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_mix": op2.op2_mix,
     "op3_exact_dedup": op3.op3_exact_dedup,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
     "op8_token_counts": op8_token_counts,
