@@ -13,6 +13,7 @@ from relengine.llm.op1_token_files import op1_token_files
 from relengine.llm.op4_quality_classifier import op4_quality_classifier
 from relengine.llm.op5_quality_rules import op5_quality_rules
 from relengine.llm.op6_bpe import op6_bpe
+from relengine.llm.op7_language_id import op7_language_id
 from relengine.llm.op8_token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_quality_rules": op5_quality_rules,
     "op6_bpe": op6_bpe,
+    "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
     "op10_warc": op10.op10_warc,
 }
