@@ -13,6 +13,7 @@ its place in the shard and the sum of the shards before, which come from the cou
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -28,6 +29,9 @@ from relengine.llm.common import scratch_path, slices, table
 from relengine.llm.pieces import PieceTable
 from relengine.llm.vocabulary import default_path, vocabulary
 
+#: Pieces that are joined to one text for the library.
+TOGETHER = 400
+CUT_BEFORE = re.compile(r" \S")
 #: Written after each document's ids.
 END = 0
 #: Bytes of a row group and of a page, and rows of a page at most.
@@ -52,32 +56,14 @@ def _pieces(path: str) -> PieceTable:
         return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
 
     def encode(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A piece that begins with a space and ends with neither white space stands safely beside others of its kind."""
-        joins = [x[:1] == " " and len(x) > 1 and not x[1].isspace() and not x[-1].isspace() for x in pieces]
-        if not all(joins):
-            # The few others go one by one.
-            ids, lens = alone([x for x, j in zip(pieces, joins, strict=True) if not j])
-            more, others = encode([x for x, j in zip(pieces, joins, strict=True) if j])
-            order = np.argsort(np.concatenate([np.flatnonzero(~np.array(joins)), np.flatnonzero(joins)]), kind="stable")
-            lens_all = np.concatenate([lens, others])
-            starts = np.cumsum(lens_all) - lens_all
-            from relengine.llm.pieces import spread
-
-            return np.concatenate([ids, more])[spread(starts[order], lens_all[order])], lens_all[order]
-        ids_out, lens_out, at = [], [], 0
-        while at < len(pieces):
-            upto, size = at, 0
-            while upto < len(pieces) and (upto == at or size < 1 << 16):
-                size += len(pieces[upto])
-                upto += 1
-            group = pieces[at:upto]
-            ids = np.array(library.encode("".join(group), add_special_tokens=False).ids, np.int32)
-            ends = np.cumsum([len(x.encode()) for x in group])
-            bounds = np.searchsorted(np.cumsum(sizes[ids]), ends, side="left") + 1
-            ids_out.append(ids)
-            lens_out.append(np.diff(bounds, prepend=0))
-            at = upto
-        return (np.concatenate(ids_out), np.concatenate(lens_out).astype(np.int64)) if ids_out else (np.empty(0, np.int32), np.empty(0, np.int64))
+        """A piece that begins with a space and another character than white space may follow any other: the cut between them is safe."""
+        if not all(map(CUT_BEFORE.match, pieces)):
+            return alone(pieces)
+        groups = ["".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
+        ids = np.concatenate([np.array(x.ids, np.int32) for x in library.encode_batch_fast(groups, add_special_tokens=False)])
+        ends = np.cumsum(pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy())
+        bounds = np.searchsorted(np.cumsum(sizes[ids]), ends, side="left") + 1
+        return ids, np.diff(bounds, prepend=0).astype(np.int64)
 
     return PieceTable(encode)
 
