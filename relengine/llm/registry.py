@@ -14,6 +14,7 @@ from relengine.llm.op4_quality_classifier import op4_quality_classifier
 from relengine.llm.op5_quality_rules import op5_quality_rules
 from relengine.llm.op6_bpe import op6_bpe
 from relengine.llm.op7_language_id import op7_language_id
+from relengine.llm.op9_jaccard_join import op9_jaccard_join
 from relengine.llm.op8_token_counts import op8_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,
     "op8_token_counts": op8_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_warc": op10.op10_warc,
 }
 
