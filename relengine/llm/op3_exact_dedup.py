@@ -59,22 +59,15 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block
     base = docs.select(F.col(key).alias("_key"), raw.alias("raw"))
     pieces = base.select(F.explode(_blocks(F.col("raw"), block)).alias("block")).select(fp(F.col("block")).alias("fp"), "block")
     names = durable(_named(pieces.distinct(), "block").select("fp", "name"), "op3-blocks")
-    known = durable(
-        base.select(
-            F.monotonically_increasing_id().alias("_row"),
-            "_key",
-            F.octet_length("raw").alias("n_bytes"),
-            F.sha2("raw", 256).alias("text_sha256"),
-            F.transform(_blocks(F.col("raw"), block), fp).alias("fps"),
-        ),
-        "op3-documents",
-    )
-    found = known.select("_row", F.posexplode("fps").alias("pos", "fp"))
     clash = names.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
-    if clash.isEmpty():
-        level = found.join(names, "fp").select("_row", "pos", "name")
-    else:
-        level = _names_of_clashes(docs, found, names, clash, text, key, block, fp)
+    base = base.select(F.monotonically_increasing_id().alias("_row"), "*")
+    clear = clash.isEmpty()
+    if not clear:  # texts are looked at again: their rows must keep their numbers
+        base = durable(base, "op3-texts")
+    sequence = F.transform(_blocks(F.col("raw"), block), fp).alias("fps")
+    known = durable(base.select("_row", "_key", F.octet_length("raw").alias("n_bytes"), F.sha2("raw", 256).alias("text_sha256"), sequence), "op3-documents")
+    found = known.select("_row", F.posexplode("fps").alias("pos", "fp"))
+    level = found.join(names, "fp").select("_row", "pos", "name") if clear else _names_of_clashes(base, found, names, clash, block, fp)
     longest = known.agg(F.max(F.size("fps"))).first()[0] or 1
     single = level.join(known.filter(F.size("fps") == 1).select("_row"), "_row", "left_semi") if longest > 1 else level
     done = [single.select("_row", "name")]
@@ -105,12 +98,11 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block
     )
 
 
-def _names_of_clashes(docs: DataFrame, found: DataFrame, names: DataFrame, clash: DataFrame, text: str, key: str, block: int, fp) -> DataFrame:
+def _names_of_clashes(base: DataFrame, found: DataFrame, names: DataFrame, clash: DataFrame, block: int, fp) -> DataFrame:
     """Names where several blocks share a fingerprint: these blocks are joined by all their bytes, the others by fingerprint."""
     clash = durable(clash, "op3-clashes")
     plain = found.join(names.join(clash, "fp", "left_anti"), "fp").select("_row", "pos", "name")
-    raw = normalised(F.col(text)).cast("binary")
-    whole = docs.select(F.monotonically_increasing_id().alias("_row"), raw.alias("raw")).select("_row", F.posexplode(_blocks(F.col("raw"), block)).alias("pos", "block"))
+    whole = base.select("_row", F.posexplode(_blocks(F.col("raw"), block)).alias("pos", "block"))
     whole = durable(whole.withColumn("fp", fp(F.col("block"))).join(clash, "fp", "left_semi"), "op3-whole")
     own = durable(_named(whole.select("block").distinct(), "block").select("block", (-1 - F.col("name")).alias("name")), "op3-whole-names")
     return plain.union(whole.join(own, "block").select("_row", "pos", "name"))
@@ -123,11 +115,12 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     sha = F.sha2(normalised(F.col(text)).cast("binary"), 256)
     if groups.filter("twin").isEmpty():
         gone = groups.filter("not kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_sha"))
-        return docs.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (sha == F.col("_sha")), "left_anti")
+        return docs.join(gone, docs[key].eqNullSafe(gone["_key"]) & (sha == gone["_sha"]), "left_anti")
     # Some kept row has a twin of the same key and text: keep one of them, whichever other columns it has.
-    marked = docs.withColumn("_sha", sha)
-    kept = groups.filter("kept").select(F.col(key).alias("_key"), F.col("text_sha256").alias("_s"))
-    return marked.join(kept, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha") == F.col("_s")), "left_semi").dropDuplicates([key, "_sha"]).drop("_sha")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(key).alias("_key"), sha.alias("_sha"))
+    kept = groups.filter("kept").select(F.col(key).alias("_k"), F.col("text_sha256").alias("_s"))
+    once = packed.join(kept, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
+    return once.dropDuplicates(["_key", "_sha"]).select("_doc.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,29 +73,29 @@ def quality_columns(docs: DataFrame, log_ratio: list[float], text: str = "text",
     kept = [F.col(f"`{c}`") for c in docs.columns]
     lines = F.filter(F.split(own, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     constant = F.expr("cast(split('" + ",".join(map(repr, log_ratio)) + "', ',') as array<double>)")
-    w, n = F.col("_w"), F.size("_w")
-    parts = docs.select(*kept, words(F.col(text)).alias("_w"), lines.alias("_lines"), F.regexp_count(own, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    w, n = F.col("__rules_w"), F.size("__rules_w")
+    parts = docs.select(*kept, words(F.col(text)).alias("__rules_w"), lines.alias("__rules_lines"), F.regexp_count(own, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
     window = lambda i: [F.get(w, i + k) for k in range(WINDOW)]
     starts = F.sequence(F.lit(0), n - WINDOW)
     hashed = parts.select(
         *kept,
-        "_w",
+        "__rules_w",
         "n_symbols",
         n.cast("long").alias("n_words"),
-        F.char_length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*window(i)))).alias("_h"),
+        F.char_length(F.array_join("__rules_w", "")).cast("long").alias("word_chars"),
+        (F.size("__rules_lines") - F.size(F.array_distinct("__rules_lines"))).cast("long").alias("n_dup_lines"),
+        F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*window(i)))).alias("__rules_h"),
         F.when(n > 0, F.aggregate(ngrams(w, len(log_ratio)), F.lit(0.0), lambda a, b: a + F.get(constant, b)) / (3 * n)).otherwise(0.0).alias("score"),
     )
     # Equal windows have equal hashes; where two hashes are equal, the windows themselves are sorted.
-    some = F.size(F.array_distinct("_h")) < F.size("_h")
+    some = F.size(F.array_distinct("__rules_h")) < F.size("__rules_h")
     ordered = F.sort_array(F.transform(starts, lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("w"), i.alias("at"))))
     scored = [F.col(c) for c in ("n_symbols", "n_words", "word_chars", "n_dup_lines", "score")]
-    sorted_ = hashed.select(*kept, *scored, F.when(some, ordered).alias("_s"))
-    s = F.col("_s")
+    sorted_ = hashed.select(*kept, *scored, F.when(some, ordered).alias("__rules_s"))
+    s = F.col("__rules_s")
     again = F.filter(s, lambda x, j: (F.get(s, j + 1)["w"] == x["w"]) | ((j > 0) & (F.get(s, j - 1)["w"] == x["w"])))
-    places = sorted_.select(*kept, *scored, F.sort_array(F.transform(again, lambda x: x["at"])).alias("_p"))
-    p = F.col("_p")
+    places = sorted_.select(*kept, *scored, F.sort_array(F.transform(again, lambda x: x["at"])).alias("__rules_p"))
+    p = F.col("__rules_p")
     # A place covers WINDOW words, or those up to the next place.
     covered = F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0), lambda a, j: a + F.least(F.lit(WINDOW), F.get(p, j + 1) - F.get(p, j)))
     repeats = F.when(F.size(p) > 0, covered).otherwise(0).cast("long")

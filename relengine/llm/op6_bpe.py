@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from relengine.llm.common import slices, table
 from relengine.llm.pieces import PieceTable, spread
@@ -188,7 +189,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", path: str | None = None, to:
     """
     path = path or default_path()
     docs = docs.drop(to)
-    schema = docs.schema.add(to, "array<int>")
+    schema = StructType([*docs.schema.fields, StructField(to, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
@@ -202,7 +203,7 @@ def bpe_decode(docs: DataFrame, ids: str = "ids", path: str | None = None, to: s
     """docs with the text of a column of token ids added. A null list gives null; an id that the vocabulary lacks is an error."""
     path = path or default_path()
     docs = docs.drop(to)
-    schema = docs.schema.add(to, "string")
+    schema = StructType([*docs.schema.fields, StructField(to, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from relengine.llm.common import slices, table
 from relengine.llm.pieces import chunks
@@ -52,7 +53,7 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, k
     path = path or default_path()
     docs = docs.drop("n_bytes", "n_tokens")
     kept = [c for c in docs.columns if keep_text or c != text]
-    schema = docs.select(kept).schema.add("n_bytes", "long").add("n_tokens", "long")
+    schema = StructType([*(docs.schema[c] for c in kept), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = _counter(path)

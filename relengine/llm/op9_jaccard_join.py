@@ -335,7 +335,7 @@ def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", thresho
     """The rows of docs, all columns, of which each component keeps the one whose key names it. Rows of a null key and repeated rows of a kept key stay."""
     found = similar_components(docs, text, key, threshold).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
     gone = durable(found, "op9-gone")
-    return docs.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,99 @@
+"""Operators 1, 6 and 8 against the tokenizers library."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from relengine.llm.op1_token_files import read_digests, read_starts, write_token_files
+from relengine.llm.op6_bpe import bpe_decode, bpe_encode, bpe_round_trip, coder
+from relengine.llm.op8_token_counts import count_tokens
+from relengine.llm.pieces import CUT, chunks
+from relengine.llm.vocabulary import default_path
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(default_path())
+
+
+def encoded(library, text):
+    return library.encode(text or "", add_special_tokens=False).ids
+
+
+def test_counts(docs, rows, library):
+    got = {r.doc_id: (r.n_bytes, r.n_tokens) for r in count_tokens(docs).collect()}
+    assert got == {d: (len((t or "").encode()), len(encoded(library, t))) for d, t, *_ in rows}
+
+
+def test_round_trip(docs, rows, library):
+    got = {r.doc_id: r for r in bpe_round_trip(docs).collect()}
+    for d, t, *_ in rows:
+        ids = encoded(library, t)
+        decoded = library.decode(ids, skip_special_tokens=False)
+        r = got[d]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), d
+
+
+def test_encode_decode_columns(docs, rows, library):
+    back = bpe_decode(bpe_encode(docs))
+    for r in back.collect():
+        assert r.ids == encoded(library, r.text) and r.decoded == (r.text or "")
+
+
+def test_encoder_on_random_texts(library):
+    rng = random.Random(2)
+    letters = ["a", "e", "t", "h", "in", "ing", " ", "the", "\n", ".", "1", "é", "-", "\t", "日", "😀", "'s", "  ", " ", "<|endoftext|>"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(600)] + ["x" * 3000, "ab" * 2000]
+    ids, bounds = coder(default_path()).encode(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == encoded(library, t), t
+
+
+def test_cuts_are_safe(library):
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choices(["ab", " ", "  ", "\n", ",", "'t", "7", "　", " c"], k=30))
+        assert sum((encoded(library, p) for p in CUT.split(text)), []) == encoded(library, text)
+        assert "".join(chunks(text, 5)) == text
+        assert sum((encoded(library, p) for p in chunks(text, 5)), []) == encoded(library, text)
+
+
+@pytest.mark.parametrize("shards", [1, 4])
+def test_files(spark, docs, rows, library, tmp_path, shards):
+    to = str(tmp_path / "tokens")
+    write_token_files(docs, to, shards=shards)
+    start, want = 0, {}
+    for d, t, *_ in sorted(rows):
+        ids = [*encoded(library, t), 0]
+        want[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in read_digests(spark, to).collect()} == want
+    assert {r.doc_id: (r.start, r.n_tokens) for r in read_starts(spark, to).collect()} == {d: x[:2] for d, x in want.items()}
+    plan = read_starts(spark, to)._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan
+
+
+def test_file_format(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    write_token_files(docs, str(tmp_path / "t"), shards=1)
+    (file,) = [p for p in (tmp_path / "t").iterdir() if p.suffix == ".parquet"]
+    column = {c.path_in_schema: c for c in (pq.ParquetFile(file).metadata.row_group(0).column(i) for i in range(5))}
+    assert "DELTA_BINARY_PACKED" in column["doc_id"].encodings and column["doc_id"].has_offset_index and column["doc_id"].has_column_index
+    keys = spark.read.parquet(str(tmp_path / "t")).select("doc_id").toPandas().doc_id.tolist()
+    assert keys == sorted(keys)
+
+
+def test_odd_and_empty(spark, odd, none, tmp_path):
+    assert count_tokens(odd).count() == 6 and count_tokens(none).count() == 0
+    assert [r.n_tokens for r in bpe_round_trip(odd).filter("doc_id is null").orderBy("n_tokens").collect()] == [0, 12]
+    assert bpe_encode(odd).filter("ids is null").count() == 0 and bpe_round_trip(none).count() == 0
+    for name, df, n in (("odd", odd, 6), ("none", none, 0)):
+        write_token_files(df, str(tmp_path / name), shards=2)
+        assert read_digests(spark, str(tmp_path / name)).count() == n

@@ -1,0 +1,68 @@
+"""Operator 10: archives that are read back, the same bytes on reruns, and files that lost attempts left."""
+
+import hashlib
+import json
+import random
+
+import pytest
+
+from relengine.llm.op10_warc import MANIFEST, commit, read_manifest, read_warc, write_warc
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    rng = random.Random(4)
+    big = "<p>" + "é" * 1200
+    rows = [(i, f"http://x/{i}", "".join(rng.choices("abc \n", k=rng.choice([0, 10, 900, 5000])))) for i in range(60)]
+    rows += [(100 + i, "u", big) for i in range(30)] + [(200, "u", "same"), (201, "u", "same"), (202, None, None), (203, "a\r\nb", "WARC/1.1\r\n\r\n" * 200)]
+    return rows
+
+
+def plain(rows):
+    raw = {k: (h or "").encode() for k, _, h in rows}
+    last = {}
+    for k, x in raw.items():
+        last[x] = max(k, last.get(x, k))
+    return {k: (len(x), hashlib.sha1(x).hexdigest(), *(("revisit", last[x]) if len(x) >= 1000 and last[x] != k else ("response", None))) for k, x in raw.items()}
+
+
+@pytest.mark.parametrize("roll", [2000, 64 << 20])
+def test_round_trip(spark, pages, tmp_path, roll):
+    to = str(tmp_path / "warc")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    manifest = write_warc(df, to, shards=3, roll=roll)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in read_warc(spark, to).collect()}
+    assert got == plain(pages)
+    back = {r.page_id: bytes(r.payload) for r in read_warc(spark, to, payloads=True).filter("record_type = 'response'").collect()}
+    assert back == {k: (h or "").encode() for k, _, h in pages if got[k][2] == "response"}
+    assert sum(m["records"] for m in manifest) == len(pages) and (len(manifest) > 6) == (roll == 2000)
+    # Rows dealt differently give the same bytes.
+    again = write_warc(df.repartition(7), str(tmp_path / "again"), shards=3, roll=roll)
+    assert len(again) == len(manifest)
+    assert not (tmp_path / "warc" / "_temporary").exists()
+
+
+def test_reruns_agree(spark, pages, tmp_path):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    a, b = (write_warc(df.repartition(n), str(tmp_path / str(n)), shards=1) for n in (2, 5))
+    assert a == b
+
+
+def test_lost_attempts_leave_nothing(tmp_path):
+    folder = tmp_path / "w"
+    (folder / "_temporary").mkdir(parents=True)
+    (folder / "_temporary" / "part.warc.gz.1").write_bytes(b"good")
+    (folder / "_temporary" / "part.warc.gz.0").write_bytes(b"lost")
+    commit(str(folder), [{"file": "part.warc.gz", "temporary": "part.warc.gz.1", "records": 1, "bytes": 4, "sha1": "x"}])
+    assert sorted(p.name for p in folder.iterdir()) == [MANIFEST, "part.warc.gz"]
+    assert (folder / "part.warc.gz").read_bytes() == b"good" and json.loads((folder / MANIFEST).read_text()) == read_manifest(str(folder))
+
+
+def test_odd(spark, tmp_path):
+    big = "z" * 2000
+    rows = [(None, "u", big), (5, "u", big), (5, "u", big), (5, "v", "small"), (None, None, None)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "url AS key", "url AS kind", "url AS last"), str(tmp_path / "a"), shards=2)
+    got = sorted(((r.page_id or 0), r.record_type, r.refers_to or 0, r.payload_bytes) for r in read_warc(spark, str(tmp_path / "a")).collect())
+    assert got == [(0, "response", 0, 0), (0, "revisit", 5, 2000), (5, "response", 0, 5), (5, "response", 0, 2000), (5, "revisit", 5, 2000)]
+    write_warc(spark.createDataFrame([], "page_id long, html string"), str(tmp_path / "b"), shards=2)
+    assert read_warc(spark, str(tmp_path / "b")).count() == 0
