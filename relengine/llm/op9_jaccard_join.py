@@ -11,13 +11,14 @@ returns the components of all links, and is exact.
 3. Two sets that link share a shingle of their first n - ceil(t n) + 1 ones. These prefixes are
    sorted by (shingle, size, class) over range partitions, so a frequent shingle spreads over many
    partitions, and what has no neighbour of a fitting size goes at once (length filter).
-4. A run is all classes of one shingle. First each is paired with the least class of its run only,
-   and once only for all runs. Verified links give components. Then all pairs of a run that lie in
-   different components follow, by the length and positional filters, skipping pairs that share
-   the shingle before as well, which another run pairs. No pair within a component is emitted.
-   That no link between components is lost makes the components exact.
-5. A pair is verified once: the suffix filter bounds the overlap by the sizes of the parts into
-   which probe values cut both sets, then the sets are intersected.
+4. A run is all classes of one shingle. First each meets ROUNDS leaders of its run only: classes
+   of which other texts share most of the prefix. Verified links give components. Then all pairs
+   of a run that lie in different components follow, by the length and positional filters,
+   skipping pairs that share the shingle before as well, which another run pairs. No pair within a
+   component is emitted, and no link between components is lost: the components are exact.
+5. A pair is verified once. The suffix filter bounds the overlap by the sizes of the parts into
+   which fixed values cut both sets, from short signatures. Only the sets that are left are made
+   again from the texts, sent and intersected.
 """
 
 from __future__ import annotations
@@ -39,8 +40,10 @@ SHINGLE, THRESHOLD = 5, 80
 COUNTERS, CHUNK = 21, 1 << 16
 #: Bytes of text that are hashed together.
 BLOCK = 2 << 20
-#: Probe values of the suffix filter.
-PROBES = 16
+#: Parts of the range of hashes that the suffix filter counts in.
+PARTS = 128
+#: Rounds in which the classes of a run meet one or two of them before all pairs do.
+ROUNDS = 3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
@@ -109,6 +112,11 @@ def set_names(own: np.ndarray) -> tuple[int, int]:
     return int(a.view(np.int64)[0]), int(b.view(np.int64)[0])
 
 
+def signature(own: np.ndarray) -> bytes:
+    """How many elements lie in each of PARTS parts of the range of hashes; 255 stands for that many or more."""
+    return np.minimum(np.bincount((own >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
+
+
 def _first_scan(docs: DataFrame, seed: int) -> DataFrame:
     """For each document its number of shingles and its set's names; for each partition its counters, packed, in rows of their own."""
 
@@ -116,24 +124,34 @@ def _first_scan(docs: DataFrame, seed: int) -> DataFrame:
         counters = np.zeros(1 << COUNTERS, np.int32)
         empty = True
         for batch in slices(batches):
-            keys, sizes, a, b, held = batch.column("key"), [], [], [], []
+            keys, sizes, a, b, held, marks = batch.column("key"), [], [], [], [], []
             for own in shingle_sets(batch.column("text").to_pylist(), seed):
                 sizes.append(len(own))
                 x, y = set_names(own)
                 a.append(x)
                 b.append(y)
                 held.append(own)
+                marks.append(signature(own))
             every = np.concatenate(held)
             counters += np.bincount((every >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS).astype(np.int32)
             empty = False
             none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), *none], names=["key", "n", "node", "check", "chunk", "counters"])
-        for k in [] if empty else range(len(counters) // CHUNK):
-            packed = zlib.compress(counters[k * CHUNK : (k + 1) * CHUNK].astype("<i4").tobytes(), 1)
-            yield pa.RecordBatch.from_pydict({"key": pa.nulls(1, keys.type), "n": pa.nulls(1, pa.int64()), "node": pa.nulls(1, pa.int64()), "check": pa.nulls(1, pa.int64()), "chunk": pa.array([k], pa.int32()), "counters": pa.array([packed], pa.binary())})
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(marks, pa.binary()), *none], names=["key", "n", "node", "check", "sig", "chunk", "counters"])
+        if not empty:
+            nulls = {"key": keys.type, "n": pa.int64(), "node": pa.int64(), "check": pa.int64(), "sig": pa.binary()}
+            for k, packed in _packed(counters):
+                yield pa.RecordBatch.from_pydict({c: pa.nulls(1, t) for c, t in nulls.items()} | {"chunk": pa.array([k], pa.int32()), "counters": pa.array([packed], pa.binary())})
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, n long, node long, check long, chunk int, counters binary")
+    return docs.mapInArrow(run, f"key {kind}, n long, node long, check long, sig binary, chunk int, counters binary")
+
+
+def _packed(counters: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """The chunks that hold anything."""
+    for k in range(len(counters) // CHUNK):
+        own = counters[k * CHUNK : (k + 1) * CHUNK]
+        if own.any():
+            yield k, zlib.compress(own.astype("<i4").tobytes(), 1)
 
 
 def _frequencies(scanned: DataFrame) -> np.ndarray:
@@ -216,19 +234,39 @@ def _runs(prefixes: DataFrame, threshold: int) -> DataFrame:
     return ranged.mapInArrow(run, prefixes.schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, seed: int) -> DataFrame:
-    """node and set (its hashes, ascending, 8 bytes each) of the wanted classes; wanted: key of a document of the class, node."""
+def _marked(nodes: DataFrame) -> np.ndarray:
+    """A bit map of fixed size in which every node's bit is set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << COUNTERS, np.int32)
+        for batch in batches:
+            bits[batch.column("node").to_numpy() & ((1 << COUNTERS) - 1)] = 1
+        for k, packed in _packed(bits):
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counters": pa.array([packed], pa.binary())})
+
+    return _frequencies(nodes.select("node").mapInArrow(run, "chunk int, counters binary")) > 0
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """node and set (its hashes, ascending, 8 bytes each) of at least these classes. A bit map keeps most others from being sent; what it lets through joins with nothing."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_marked(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, met = wanted.value, set()
         for batch in slices(batches):
-            nodes, sets = [], []
-            for node, own in zip(batch.column("node").to_pylist(), shingle_sets(batch.column("text").to_pylist(), seed), strict=True):
-                if set_names(own)[0] == node:
-                    nodes.append(node)
+            found, sets = [], []
+            for own in shingle_sets(batch.column("text").to_pylist(), seed):
+                node = set_names(own)[0]
+                if len(own) and bits[node & ((1 << COUNTERS) - 1)] and node not in met:
+                    if len(met) > 1_000_000:
+                        met.clear()
+                    met.add(node)
+                    found.append(node)
                     sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    return docs.join(wanted, docs["key"].eqNullSafe(wanted["wanted"])).select("node", "text").mapInArrow(run, "node long, set binary")
+    rows = docs.select("text").mapInArrow(run, "node long, set binary")
+    return rows.groupBy("node").agg(F.first("set").alias("set"))
 
 
 def links(x: np.ndarray, y: np.ndarray, threshold: int = THRESHOLD) -> bool:
@@ -236,25 +274,41 @@ def links(x: np.ndarray, y: np.ndarray, threshold: int = THRESHOLD) -> bool:
     need = -(-threshold * (len(x) + len(y)) // (100 + threshold))
     if need > min(len(x), len(y)):
         return False
-    if len(x) > 4 * PROBES:
-        # Suffix filter: elements of both are in the same part of the range.
-        probes = (np.arange(1, PROBES, dtype=np.uint64)) * np.uint64((1 << 64) // PROBES)
-        cx, cy = (np.diff(np.searchsorted(s, probes), prepend=0, append=len(s)) for s in (x, y))
-        if np.minimum(cx, cy).sum() < need:
-            return False
     at = np.searchsorted(x, y)
     at[at == len(x)] = 0
     return int((x[at] == y).sum()) >= need
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def _suffix_filter(pairs: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose overlap may be large enough: an element of both sets is in the same part of the range in both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PARTS).astype(np.int64) for c in ("x", "y"))
+            # Full counters bound nothing.
+            x, y = (np.where(s == 255, 1 << 40, s) for s in (x, y))
+            need = -(-threshold * (batch.column("nx").to_numpy() + batch.column("ny").to_numpy()) // (100 + threshold))
+            ok = np.minimum(x, y).sum(1) >= need
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    with_b = pairs.join(classes.select(F.col("node").alias("b"), F.col("sig").alias("y"), F.col("n").alias("ny")), "b")
+    both = with_b.join(classes.select(F.col("node").alias("a"), F.col("sig").alias("x"), F.col("n").alias("nx")), "a")
+    return both.select("a", "b", "x", "y", "nx", "ny").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, seed: int, threshold: int) -> DataFrame:
     """The pairs a, b that link."""
+    if pairs.isEmpty():
+        return pairs
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(docs, nodes, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "y"):
-            a, b = batch.column("a"), batch.column("b")
             ok = [links(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8"), threshold) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     # The set of b, of which there are many different ones, travels to the one of a.
     with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -268,8 +322,18 @@ def _may_overlap(n1: Column, pos1: Column, n2: Column, pos2: Column, threshold:
     return fits & ((100 + threshold) * F.least(n1 - pos1, n2 - pos2) >= threshold * (n1 + n2))
 
 
+def _leaders(runs: DataFrame, threshold: int) -> DataFrame:
+    """Pairs a < b of each class of a run with a few of the run's: the best by share, and ROUNDS - 1 others that a hash picks among the good ones. Each pair once."""
+    best = [F.max(F.struct("share", F.xxhash64(F.lit(k), "node"), "node", "n")).alias(f"m{k}") for k in range(ROUNDS)]
+    found = runs.groupBy("token").agg(F.count("*").alias("c"), *best).filter("c > 1")
+    found = found.select("token", F.explode(F.array_distinct(F.array(*(F.struct(F.col(f"m{k}.node").alias("node"), F.col(f"m{k}.n").alias("n")) for k in range(ROUNDS))))).alias("m"))
+    pairs = runs.join(found, "token").filter(F.col("node") != F.col("m.node"))
+    pairs = pairs.filter(_may_overlap(F.col("n"), F.lit(0), F.col("m.n"), F.lit(0), threshold))
+    return pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
+
+
 def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, seed: int = 0) -> DataFrame:
-    """key, n_shingles and component_id of every row of docs; docs is read three times.
+    """key, n_shingles and component_id of every row of docs; docs is read four times.
 
     component_id is the least key that links reach from the row's, its own included. Null and
     empty texts and texts of white space have no shingles and no links. Rows of the same key are
@@ -279,24 +343,20 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema["key"].dataType
     scanned = durable(_first_scan(docs, seed), "op9-documents")
-    known = scanned.filter("chunk is null").select("key", "n", "node", "check")
-    classes = known.filter("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.count("key").alias("with_key"))
+    known = scanned.filter("chunk is null").select("key", "n", "node", "check", "sig")
+    classes = known.filter("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = durable(classes, "op9-classes")
     if not classes.filter("c1 <> c2").isEmpty():
         return similar_components(docs, "text", "key", threshold, seed + 1).withColumnRenamed("key", key)
     frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(scanned))
     runs = durable(_runs(_prefixes(docs, frequencies, seed, threshold), threshold), "op9-runs")
 
-    # Each class of a run with the run's least one.
-    least = runs.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("m"), F.count("*").alias("c")).filter("c > 1")
-    star = runs.join(least, "token").filter(F.col("node") != F.col("m.node"))
-    star = star.filter(_may_overlap(F.col("n"), F.lit(0), F.col("m.n"), F.lit(0), threshold))
-    star = durable(star.select(F.col("m.node").alias("a"), F.col("node").alias("b")).distinct(), "op9-star")
-    # Sets of the classes that a later step may compare: those of runs with more than one class.
-    inside = runs.join(least.select("token"), "token", "left_semi").select("node").distinct()
-    wanted = durable(classes.join(inside, "node", "left_semi").select(F.col("least").alias("wanted"), "node"), "op9-wanted")
-    sets = durable(_sets(docs, wanted, seed), "op9-sets")
-    first = durable(_verified(star, sets, threshold), "op9-links")
+    # A class that shares much of its prefix is a good one to meet first.
+    prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
+    share = runs.groupBy("node").agg((10 * F.count("*") / F.first(prefix)).cast("int").alias("share"))
+    runs = durable(runs.join(share, "node"), "op9-runs")
+    pairs = durable(_suffix_filter(_leaders(runs, threshold), classes, threshold), "op9-leaders")
+    first = durable(_verified(pairs, docs, seed, threshold), "op9-links")
     roots = durable(connected_components(first), "op9-roots")
 
     # What of a run lies in different components.
@@ -310,12 +370,15 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     # Members of the largest component of a run meet the others only: none of its own.
     x = placed.filter("root <> largest").select("token", *(F.col(c).alias(c + "1") for c in ("n", "node", "pos", "root", "before")))
     y = placed.select("token", "largest", *(F.col(c).alias(c + "2") for c in ("n", "node", "pos", "root", "before")))
-    met = x.join(y, "token").filter((F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("largest")) | (F.col("node1") < F.col("node2"))))
-    met = met.filter(_may_overlap(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), threshold)).filter("not (before1 <=> before2) or before1 is null")
-    pairs = met.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    done = star.select("a", "b")
-    pairs = durable(pairs.join(done, ["a", "b"], "left_anti"), "op9-pairs")
-    second = durable(_verified(pairs, sets, threshold), "op9-links")
+    met = (
+        (F.col("root1") != F.col("root2"))
+        & ((F.col("root2") == F.col("largest")) | (F.col("node1") < F.col("node2")))
+        & _may_overlap(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), threshold)
+        & (~F.col("before1").eqNullSafe(F.col("before2")) | F.col("before1").isNull())
+    )
+    rest = x.join(y, "token").filter(met).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+    rest = rest.join(pairs, ["a", "b"], "left_anti")
+    second = durable(_verified(durable(_suffix_filter(rest, classes, threshold), "op9-rest"), docs, seed, threshold), "op9-links")
 
     # Components of all links, and of rows that share a key.
     every = first.union(second)
