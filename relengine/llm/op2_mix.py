@@ -116,10 +116,10 @@ def _ranked(sizes: DataFrame, plan: DataFrame, seed: str, repeat: int) -> DataFr
     return rows.withColumn("certain", F.floor("expected").cast("int")).withColumn("rank", rank).withColumn("bucket", bucket)
 
 
-def _mixed(docs: DataFrame, text: str, key: str, source: str, preference: Column | None, weights: Sequence[int], share: float, seed: str, repeat: int) -> DataFrame:
+def _mixed(docs: DataFrame, text: str, key: str, source: str, preference: Column | None, weights: Sequence[int], share: float, seed: str, repeat: int, size: Column | None) -> DataFrame:
     """Each row of docs as a struct _doc, with size, source_size, target and copies."""
     liked = F.lit(1.0) if preference is None else preference.cast("double")
-    own = [F.col(key).alias("key"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), liked.alias("preference")]
+    own = [F.col(key).alias("key"), F.col(source).alias("source"), (size_of(F.col(text)) if size is None else size.cast("long")).alias("size"), liked.alias("preference")]
     sizes = durable(docs.select(*own), "op2-sizes")
     plan = mix_plan(sizes, targets(sizes, weights, share, repeat=repeat), seed, repeat=repeat)
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), *own)
@@ -128,28 +128,31 @@ def _mixed(docs: DataFrame, text: str, key: str, source: str, preference: Column
     return rows.select("_doc", "size", "source_size", "target", (F.col("certain") + drawn).alias("copies"))
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", preference: Column | None = None, weights: Sequence[int] = WEIGHTS, share: float = 1.0, seed: str = "mix", repeat: int = REPEAT) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", preference: Column | None = None, weights: Sequence[int] = WEIGHTS, share: float = 1.0, seed: str = "mix", repeat: int = REPEAT, size: Column | None = None) -> DataFrame:
     """docs with size, source_size, target and copies: how often the mix takes each document. Columns of these names are replaced.
 
     A null text has size 0, and a source of size 0 the target 0. Rows of the same key and source
     and size rank alike: the sample takes all of them or none. A null source is a source; a null
     key is a key. preference (over 0) makes a document's copies more or fewer than its source's
-    others'; no document has more than `repeat`.
+    others'; no document has more than `repeat`. size stands for the number of words of the text,
+    where that is known already: then docs need no text.
     """
-    found = _mixed(docs, text, key, source, preference, weights, share, seed, repeat)
+    found = _mixed(docs, text, key, source, preference, weights, share, seed, repeat, size)
     new = ["size", "source_size", "target", "copies"]
     return found.select(*(F.col("_doc")[c].alias(c) for c in docs.columns if c not in new), *new)
 
 
-def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", preference: Column | None = None, weights: Sequence[int] = WEIGHTS, share: float = 1.0, seed: str = "mix", repeat: int = REPEAT) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", preference: Column | None = None, weights: Sequence[int] = WEIGHTS, share: float = 1.0, seed: str = "mix", repeat: int = REPEAT, size: Column | None = None) -> DataFrame:
     """The rows that the mix takes, each as often as it takes them, with the columns of docs."""
-    found = _mixed(docs, text, key, source, preference, weights, share, seed, repeat)
+    found = _mixed(docs, text, key, source, preference, weights, share, seed, repeat, size)
     return found.select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy")).select("_doc.*")
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document."""
-    found = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    # Texts are counted and left behind: the decision needs key, source and size.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("words"))
+    found = mix(docs, size=F.col("words"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
