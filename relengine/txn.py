@@ -91,13 +91,15 @@ def publish(storage: Storage, db: Database, state: State, sorted_by: list[str] |
     segments = []
     kept = list(now.segments)
     touched = changed.select(RID, GONE, *(F.col(f"`{f.name}`").alias(f"_new_{i}") for i, f in enumerate(base.fields)))
-    for name in now.segments:
-        old = storage.spark.read.schema(base.stored_schema).parquet(f"{db.folder}/{name}")
-        if old.join(touched, RID, "left_semi").isEmpty():
-            continue
+    # One look at the row numbers of all segments tells which of them hold a touched row.
+    places = storage.read(db, now).select(RID, F.input_file_name().alias("_file")) if kept else None
+    found = places.join(touched, RID, "left_semi").select(F.element_at(F.split("_file", "/"), -2).alias("s")).distinct().collect() if kept else []
+    hit = [name for name in kept if name.rpartition("/")[2] in {r["s"] for r in found}]
+    if hit:
+        old = storage.read(db, Table(base.name, base.fields, hit))
         both = old.join(touched.withColumn("_there", F.lit(True)), RID, "left").filter(f"not coalesce({GONE}, false)")
         rows = both.select(RID, *(F.when(F.col("_there"), F.col(f"_new_{i}")).otherwise(F.col(f"`{f.name}`")).alias(f.name) for i, f in enumerate(base.fields)))
-        kept.remove(name)
+        kept = [name for name in kept if name not in hit]
         segments.append(storage.write(db, base, rows, sorted_by))
     if not fresh.isEmpty():
         # Rows that others inserted meanwhile keep their numbers, these move up.
