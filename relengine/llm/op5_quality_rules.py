@@ -2,10 +2,11 @@
 
 The ratio compares two multinomials over hashed n-grams: that of a trusted target (documents that
 labels call good) and that of the raw corpus (all documents). An n-gram's weight is the log of its
-share in the target over its share in the corpus, with one added to each count; a document's score
-is the mean weight of its n-grams, so length doesn't matter. It stays if the score is THRESHOLD or
-more. N-grams are a word, a word and the next one (or the end), and the last two characters of a
-word, each hashed to one of BUCKETS buckets.
+share in the target over its share in the corpus. PRIOR n-grams of the corpus's own shares are added
+to the target, so few labels give weights near 0, and none give 0: what labels don't show is no
+reason to reject. A document's score is the mean weight of its n-grams, so length doesn't matter. It
+stays if the score is THRESHOLD or more. N-grams are a word, a word and the next one (or the end),
+and the last two characters of a word, each hashed to one of BUCKETS buckets.
 
 The corpus counts cover every document, and are summed in each partition before the shuffle. The
 target is fitted on a sample of labelled rows of bounded size (TARGET_ROWS, those with the least
@@ -24,6 +25,8 @@ from relengine.llm.common import table, words
 
 #: Hash buckets of n-grams, a power of two.
 BUCKETS = 1 << 14
+#: N-grams that are added to the target, by the shares that the corpus has of BUCKETS buckets.
+PRIOR = 8 * BUCKETS
 #: Labelled rows that the target is fitted on at most.
 TARGET_ROWS = 20_000
 #: Least mean weight of a document that stays. Clean text has about 0, symbols or capitals at every word below -1.
@@ -43,8 +46,15 @@ def ngrams(w: Column, buckets: int = BUCKETS) -> Column:
     )
 
 
-def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, most: int = TARGET_ROWS) -> list[float]:
-    """The weight of each bucket. trusted: keys of rows that labels call good; most of them count, by least hash. With no trusted row or no documents all weights are those of the added ones."""
+def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, most: int = TARGET_ROWS, prior: int | None = None) -> list[float]:
+    """The weight of each bucket. trusted: keys of rows that labels call good; most of them count, by least hash.
+
+    prior: n-grams that are added to the target by the corpus's shares; with no trusted row all
+    weights are 0. By default it is PRIOR for BUCKETS buckets, which it was measured for; for another
+    number of buckets it is 0, which stands for one added to each bucket of the target.
+    """
+    if prior is None:
+        prior = PRIOR if buckets == BUCKETS else 0
     spark = docs.sparkSession
     order = F.xxhash64(F.lit("target"), F.col("_key"))
     sample = trusted.select(F.col(key).alias("_key")).filter("_key is not null").distinct().orderBy(order, "_key").limit(most)
@@ -56,7 +66,9 @@ def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     n, g = sum(r.n for r in rows), sum(r.g for r in rows)
     out = [0.0] * buckets
     for r in rows:
-        out[r.b] = math.log((r.g + 1) / (g + buckets)) - math.log((r.n + 1) / (n + buckets))
+        share = (r.n + 1) / (n + buckets)
+        target = (r.g + prior * share) / (g + prior) if prior else (r.g + 1) / (g + buckets)
+        out[r.b] = math.log(target) - math.log(share)
     return out
 
 
