@@ -84,7 +84,7 @@ def mix_plan(sizes: DataFrame, goal: DataFrame, seed: str = "mix", rounds: int =
     sizes: key, source, size (long) and preference (double, over 0). goal: what targets() gives.
     """
     wanted = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("preference")).alias("wished"))
-    plan = goal.join(wanted, goal["source"].eqNullSafe(wanted["source"])).select(goal["source"], "source_size", "target", F.coalesce(F.col("target") / F.col("wished"), F.lit(0.0)).alias("rate"))
+    plan = goal.join(wanted, goal["source"].eqNullSafe(wanted["source"])).select(goal["source"], "source_size", "target", F.coalesce(F.try_divide("target", "wished"), F.lit(0.0)).alias("rate"))
     plan = durable(plan, "op2-plan")
     rows = _ranked(sizes, plan, seed, repeat)
     certain = rows.groupBy("source").agg(F.sum(F.col("certain") * F.col("size")).alias("given"))

@@ -73,6 +73,19 @@ def test_mix_odd(odd, none):
     assert mix(none).count() == 0 and mixed(none).count() == 0
 
 
+def test_mix_no_words(spark):
+    """A source of only null, empty and white texts has the target 0, and the others share all words. Texts of size 0 always fit, as in the SQL."""
+    rows = [(0, None, "a"), (1, "", "a"), (2, " \t\n ", "a"), *((i, "w " * 10, "b" if i % 2 else "c") for i in range(3, 23))]
+    for some in (rows, rows[:3]):
+        got = mix(spark.createDataFrame(some, "doc_id long, text string, source string")).collect()
+        assert len(got) == len(some)
+        assert all((r["size"], r.source_size, r.target, r.copies) == (0, 0, 0.0, 1) for r in got if r.source == "a")
+        want = plain_targets({s: sum(len((t or "").split()) for _, t, x in some if x == s) for _, _, s in some})
+        for s in want:
+            assert all(math.isclose(r.target, want[s]) for r in got if r.source == s)
+            assert want[s] - 10 < sum(r.copies * r["size"] for r in got if r.source == s) <= want[s] + 1e-6
+
+
 def plain_rules(text):
     own = re.findall(SPLIT, text or "")
     n = len(own)
