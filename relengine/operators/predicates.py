@@ -176,7 +176,8 @@ class Predicates:
                 return (lo != x) | (hi != x)
             return x > lo if p.op == ">" else x >= lo if p.op == ">=" else x < hi if p.op == "<" else x <= hi
         if p.op == "<>":
-            none = ~x.isin(values.filter(v.isNotNull()))
+            # Neither side is NULL here; that the test can't be NULL lets it be an existence join on the key.
+            none = ~F.coalesce(x.isin(values.filter(v.isNotNull())), F.lit(False))
         elif p.op == "=":
             none = (lo == x) & (hi == x)
         else:

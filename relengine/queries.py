@@ -17,9 +17,7 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 def session(spark: SparkSession, sf_dir: str) -> Session:
     """A session in which the tables of a folder are registered; its own databases go to the shared folder, if there is one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = f"{shared.rstrip('/')}/relengine/db-{uuid.uuid4().hex}" if shared else None
-    s = Session(spark, root)
+    s = Session(spark)
     for name in TABLES:
         s.register(name, lambda name=name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
     return s
