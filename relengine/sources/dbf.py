@@ -8,11 +8,14 @@ Format: 32 bytes of header (version 0x03, date, number of records, sizes of head
 bytes for each field (name, kind, length, decimals), 0x0D, then records of fixed size: a deletion
 flag and the fields as text, then 0x1A. Records of fixed size are split by their number, so a
 large file is read by many tasks, each by one seek. Deleted records are left out, blanks are NULL,
-numbers that are none are NULL, dates and logicals become such.
+numbers that are none are NULL, dates and logicals become such. With the option deleted=include all
+records come, with a logical column _deleted; written rows of a true _deleted are marked as such. So
+a record is deleted, and called back, by a rewrite that changes one column.
 
 Writing. Each task writes its records to a file of its own beside the target; the driver writes the
-header when all are known, appends the parts and renames the result over the target. Lost or
-repeated tasks leave parts that no commit message names.
+header when all are known, appends the parts and renames the result over the target, because the
+format wants one file. Lost or repeated tasks leave parts that no commit message names. Values
+become text by columns, in Arrow and numpy, not one by one.
 """
 
 from __future__ import annotations
@@ -30,14 +33,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from relengine.plans.ast import Field, SqlError
 from relengine.types import field_of, struct_field
 
 #: Records of a partition, and of an Arrow batch in it.
 SPLIT, BATCH = 1_000_000, 50_000
+#: The column that tells whether a record is marked as deleted.
+DELETED = "_deleted"
 _HEADER = struct.Struct("<B3BIHH20x")
 _DESCRIPTOR = struct.Struct("<11sc4xBB14x")
 
@@ -122,18 +127,23 @@ def decode(raw: np.ndarray, fields: Sequence[Field], encoding: str) -> list[pa.A
             out.append(parsed.cast(pa.date32()))
         else:
             good = pc.fill_null(pc.match_substring_regex(text, r"^[+-]?(\d+(\.\d*)?|\.\d+)$"), False)
-            values = [Decimal(x) if x is not None else None for x in pc.if_else(good, text, None).to_pylist()]
-            if f.decimals == 0 and f.length <= 18:
-                out.append(pa.array([None if x is None else int(x) for x in values], pa.int64()))
+            text = pc.utf8_ltrim(pc.if_else(good, text, None), "+")
+            whole = f.decimals == 0 and f.length <= 18
+            kind = pa.int64() if whole else pa.decimal128(min(f.length, 38), min(f.decimals, 38))
+            # As files are written: at most the declared decimals. Others are rounded one by one.
+            plain = r"^-?\d+$" if whole else rf"^-?\d+(\.\d{{1,{f.decimals}}})?$" if f.decimals else r"^-?\d+$"
+            if pc.all(pc.match_substring_regex(text, plain), min_count=0).as_py() is not False:
+                out.append(text.cast(kind))
             else:
                 unit = Decimal(1).scaleb(-f.decimals)
-                out.append(pa.array([None if x is None else x.quantize(unit) for x in values], pa.decimal128(min(f.length, 38), min(f.decimals, 38))))
+                values = [None if x is None else Decimal(x) for x in text.to_pylist()]
+                out.append(pa.array([None if x is None else int(x) if whole else x.quantize(unit) for x in values], kind))
     return out
 
 
 class DbfReader(DataSourceReader):
-    def __init__(self, path: str, header: Header, split: int, encoding: str):
-        self.path, self.header, self.split, self.encoding = path, header, split, encoding
+    def __init__(self, path: str, header: Header, split: int, encoding: str, deleted: bool):
+        self.path, self.header, self.split, self.encoding, self.deleted = path, header, split, encoding, deleted
 
     def partitions(self) -> Sequence[InputPartition]:
         n = self.header.records
@@ -153,28 +163,56 @@ class DbfReader(DataSourceReader):
                     raise SqlError(f"{self.path} ends before its last record")
                 left -= got
                 block = np.frombuffer(raw[: got * size], np.uint8).reshape(got, size)
-                live = block[block[:, 0] != ord("*")]
-                yield pa.RecordBatch.from_arrays(decode(live, self.header.fields, self.encoding), names=names)
-
-
-def encode(values: Sequence, fields: Sequence[Field], encoding: str) -> bytes:
-    """A record. Numbers stand at the right of their field, everything else at the left; what doesn't fit is an error."""
-    out = [b" "]
-    for v, f in zip(values, fields, strict=True):
-        if v is None:
-            raw = b""
-        elif f.kind == "N":
-            raw = (f"{Decimal(str(v)):.{f.decimals}f}" if f.decimals else str(int(v))).encode()
+                gone = block[:, 0] == ord("*")
+                if self.deleted:
+                    yield pa.RecordBatch.from_arrays([*decode(block, self.header.fields, self.encoding), pa.array(gone)], names=[*names, DELETED])
+                else:
+                    yield pa.RecordBatch.from_arrays(decode(block[~gone], self.header.fields, self.encoding), names=names)
+
+
+def encode(batch: pa.RecordBatch, fields: Sequence[Field], encoding: str) -> bytes:
+    """Records of a batch's rows. Numbers stand at the right of their field, everything else at the left; what doesn't fit is an error.
+
+    The batch has the fields' columns by their place, and a column _deleted or none.
+    """
+    n = batch.num_rows
+    out = np.full((n, 1 + sum(f.length for f in fields)), ord(" "), np.uint8)
+    if DELETED in batch.schema.names:
+        out[:, 0] = np.where(pc.fill_null(batch.column(DELETED), False).to_numpy(zero_copy_only=False), ord("*"), ord(" "))
+    at = 1
+    for f, column in zip(fields, (c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name != DELETED), strict=True):
+        if f.kind == "L":
+            text = pc.if_else(column, "T", "F")
         elif f.kind == "D":
-            raw = v.strftime("%Y%m%d").encode()
-        elif f.kind == "L":
-            raw = b"T" if v else b"F"
+            text = pc.strftime(column.cast(pa.date32()), format="%Y%m%d")
+        elif f.kind == "N":
+            text = _number_texts(column, f)
         else:
-            raw = str(v).encode(encoding)
-        if len(raw) > f.length:
-            raise SqlError(f"{f.name}: {v!r} is longer than {f.length}")
-        out.append(raw.rjust(f.length) if f.kind == "N" else raw.ljust(f.length))
-    return b"".join(out)
+            text = column.cast(pa.string())
+        if f.kind == "C" and encoding not in ("ascii", "utf-8"):
+            raw = [(x or "").encode(encoding) for x in text.to_pylist()]
+        else:
+            if f.kind == "C" and encoding == "ascii" and pc.any(pc.invert(pc.string_is_ascii(text))).as_py():
+                raise SqlError(f"{f.name}: a text is not ASCII; name another encoding")
+            raw = pc.fill_null(text.cast(pa.binary()), b"").to_pylist()
+        if any(len(x) > f.length for x in raw):
+            raise SqlError(f"{f.name}: {next(x for x in raw if len(x) > f.length)!r} is longer than {f.length}")
+        if n:
+            raw = [x.rjust(f.length) for x in raw] if f.kind == "N" else [x.ljust(f.length) for x in raw]
+            out[:, at : at + f.length] = np.frombuffer(b"".join(raw), np.uint8).reshape(n, f.length)
+        at += f.length
+    return out.tobytes()
+
+
+def _number_texts(column: pa.Array, f: Field) -> pa.Array:
+    """Numbers as texts with the field's decimals."""
+    if pa.types.is_floating(column.type):
+        return pa.array([None if x is None else f"{x:.{f.decimals}f}" for x in column.to_pylist()], pa.string())
+    if pa.types.is_decimal(column.type):
+        column = pc.round(column, ndigits=f.decimals) if column.type.scale > f.decimals else column
+        column = column.cast(pa.decimal128(38, f.decimals))
+    text = column.cast(pa.string())
+    return text if not f.decimals or pa.types.is_decimal(column.type) else pc.binary_join_element_wise(text, "." + "0" * f.decimals, "")
 
 
 @dataclass
@@ -183,20 +221,20 @@ class Part(WriterCommitMessage):
     records: int
 
 
-class DbfWriter(DataSourceWriter):
+class DbfWriter(DataSourceArrowWriter):
     def __init__(self, path: str, fields: list[Field], overwrite: bool, encoding: str):
         self.path, self.fields, self.overwrite, self.encoding = path, fields, overwrite, encoding
         self.run = uuid.uuid4().hex
 
-    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, path = _open(self.path)
         folder = f"{path}.{self.run}"
         fs.create_dir(folder, recursive=True)
         name, n = f"{folder}/{uuid.uuid4().hex}", 0
         with fs.open_output_stream(name, compression=None) as out:
-            for row in iterator:
-                out.write(encode(row, self.fields, self.encoding))
-                n += 1
+            for batch in iterator:
+                out.write(encode(batch, self.fields, self.encoding))
+                n += batch.num_rows
         return Part(name, n)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -242,21 +280,26 @@ def _copy(source, to, count: int) -> None:
 
 
 class DbfSource(DataSource):
-    """Options: path; split (records of a partition); encoding of texts (ascii). Fields of written columns follow their metadata, or their type."""
+    """Options: path; split (records of a partition); encoding of texts (ascii); deleted (include). Fields of written columns follow their metadata, or their type."""
 
     @classmethod
     def name(cls) -> str:
         return "dbf3"
 
     def schema(self) -> StructType:
-        return StructType([struct_field(f) for f in read_header(self.options["path"]).fields])
+        own = StructType([struct_field(f) for f in read_header(self.options["path"]).fields])
+        return own.add(DELETED, "boolean") if self._deleted else own
+
+    @property
+    def _deleted(self) -> bool:
+        return self.options.get("deleted", "").lower() == "include"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         header = read_header(self.options["path"])
-        return DbfReader(self.options["path"], header, int(self.options.get("split", SPLIT)), self.options.get("encoding", "ascii"))
+        return DbfReader(self.options["path"], header, int(self.options.get("split", SPLIT)), self.options.get("encoding", "ascii"), self._deleted)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        fields = [field_of(f) for f in schema.fields]
+        fields = [field_of(f) for f in schema.fields if f.name != DELETED]
         for f in fields:
             if len(f.name) > 10:
                 raise SqlError(f"{f.name}: names in dBase files have at most 10 letters; rename the column")
