@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: The white space that separates words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 _scratch: dict[str, tuple[SparkSession, str]] = {}
 
@@ -51,11 +51,24 @@ def _forget_later(spark: SparkSession, path: str) -> None:
 
 
 def _forget() -> None:
-    for spark, path in _scratch.values():
-        try:
-            delete(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
+    """Deletes what is left. A session that has ended can't do that any more: then the newest one tries, which may have the same file systems."""
+    for path, (spark, _) in list(_scratch.items()):
+        for session in (spark, SparkSession.getActiveSession()):
+            try:
+                delete(session, path)
+                break
+            except Exception:  # noqa: S112 (the JVM may be gone; other paths may still be reached)
+                continue
+    _scratch.clear()
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes the files of tables that durable() made and that no plan needs any more."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path in _scratch:
+            delete(df.sparkSession, path)
+            del _scratch[path]
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -65,16 +78,36 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df from a table in the shared folder: the plan behind them is cut, and lost executors cost nothing that was written."""
+    """The rows of df from a table in the shared folder: the plan behind them is cut, and lost executors cost nothing that was written. free() deletes it, or the end of the driver."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
 def words(text: Column) -> Column:
     """The words of a text, as the contracts split it; an empty array for null."""
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE)
-    return F.filter(parts, lambda x: x != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+def balanced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of text each: small batches are put together, large ones cut; a longer text stands alone."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in slices(batches, column, most):
+        own = pa.compute.sum(pa.compute.binary_length(part.column(column))).as_py() or 0
+        if held and size + own > most:
+            yield _joined(held)
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ encoder takes it, checks it against the token before it in a table of compatible
 pair can't stand in a result of the merges, tries the next shorter token that is a prefix of it, or
 goes back one token. A position that failed once is never tried again, so the time is linear in
 the length. The tokens found are exactly those that the merges give: the sequence of compatible
-tokens that covers a text is unique.
+tokens that covers a text is unique. Tokens that no merges lead to can't stand in a result, so the
+automaton leaves them out.
 
 Two tokens are compatible if encoding their joined bytes gives these two: no merge across the
 border comes before the merges that made them. This is decided by undoing both tokens' merges from
@@ -17,6 +18,7 @@ offsets, and all ranges of a batch are gathered at once.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -30,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from relengine.llm.common import slices, table
-from relengine.llm.pieces import PieceTable, spread
+from relengine.llm.pieces import LONG, PieceTable, chunks, spread
 from relengine.llm.vocabulary import Vocabulary, default_path, vocabulary
 
 #: Pairs of tokens of which a worker remembers whether they are compatible; the table starts anew beyond that.
-PAIRS = 1 << 20
+PAIRS = 1 << 18
+#: Bytes of text that go to ids and back at once. Each byte takes some 30 bytes of working memory on the way.
+STEP_BYTES = 1 << 20
 
 
 class Backtracking:
@@ -42,13 +46,18 @@ class Backtracking:
 
     def __init__(self, v: Vocabulary):
         self.bytes_of = v.by_id
-        self.id_of = v.ranks
         self.left = {k: a for k, (a, _) in v.merges.items()}
         self.right = {k: b for k, (_, b) in v.merges.items()}
         self.made = {ab: k for k, ab in v.merges.items()}
+        # A token is reached if both its parts are and no earlier merge comes between them; parts have smaller ids.
+        reached = {k for k, x in v.by_id.items() if len(x) == 1}
+        for k, (a, b) in sorted(v.merges.items()):
+            if a in reached and b in reached and self._compatible(a, b, k):
+                reached.add(k)
+        self.id_of = {v.by_id[k]: k for k in reached}
         # One letter for a byte: the automaton's keys are strings.
         self.automaton = ahocorasick.Automaton()
-        for k, x in v.by_id.items():
+        for x, k in self.id_of.items():
             self.automaton.add_word(x.decode("latin-1"), k)
         self.automaton.make_automaton()
         self.shorter: dict[int, int] = {}
@@ -75,10 +84,9 @@ class Backtracking:
             found = self.pairs[key] = self._compatible(a, b)
         return found
 
-    def _compatible(self, a: int, b: int) -> bool:
-        """Undo the later merge of the two tokens at the border, again and again; a merge across the border that comes earlier would have been made instead."""
+    def _compatible(self, a: int, b: int, limit: int = 1 << 60) -> bool:
+        """Undo the later merge of the two tokens at the border, again and again; a merge across the border that comes earlier (and before `limit`) would have been made instead."""
         made, left, right = self.made, self.left, self.right
-        limit = 1 << 60
         while True:
             across = made.get((a, b))
             if across is not None and across < limit:
@@ -162,6 +170,26 @@ class Coder:
         upto = np.concatenate([[0], np.cumsum(lens)])
         return memoryview(blob[spread(starts, lens)]), upto[bounds]
 
+    def digests(self, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+        """Of each text the number of ids, and digests of the ids and of what they decode to. A text of more than STEP_BYTES goes part by part."""
+        if len(texts) == 1 and len(plain := texts[0].as_py()) > LONG:
+            n, named, decoded, reader = 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+            for part in chunks(plain):
+                ids, bounds = self.encode(pa.array([part], pa.string()))
+                named.update(b"," if n and len(ids) else b"")
+                named.update(self.decimal(ids, bounds)[0][:-1])
+                decoded.update(reader.decode(self.decode(ids, bounds)[0]).encode())
+                n += len(ids)
+            decoded.update(reader.decode(b"", True).encode())
+            return np.array([n]), [named.hexdigest()], [decoded.hexdigest()]
+        ids, bounds = self.encode(texts)
+        sha, every = hashlib.sha256, range(len(texts))
+        raw, at = self.decode(ids, bounds)
+        decoded = [sha(text_of(bytes(raw[at[i] : at[i + 1]])).encode()).hexdigest() for i in every]
+        said, at = self.decimal(ids, bounds)
+        named = [sha(said[at[i] : max(at[i], at[i + 1] - 1)]).hexdigest() for i in every]
+        return np.diff(bounds), named, decoded
+
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[memoryview, np.ndarray]:
         """The bytes of all ids, and where those of each text begin."""
         return self._gather(self.blob, self.ends, ids, bounds)
@@ -192,7 +220,7 @@ def bpe_encode(docs: DataFrame, text: str = "text", path: str | None = None, to:
     schema = StructType([*docs.schema.fields, StructField(to, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, STEP_BYTES):
             ids, bounds = coder(path).encode(pc.fill_null(batch.column(text).cast(pa.string()), ""))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))], names=[*batch.schema.names, to])
 
@@ -232,15 +260,9 @@ def bpe_round_trip(docs: DataFrame, text: str = "text", key: str = "doc_id", pat
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            own = coder(path)
-            ids, bounds = own.encode(pc.fill_null(batch.column(text).cast(pa.string()), ""))
-            sha = hashlib.sha256
-            raw, at = own.decode(ids, bounds)
-            decoded = [sha(text_of(bytes(raw[at[i] : at[i + 1]])).encode()).hexdigest() for i in range(batch.num_rows)]
-            said, at = own.decimal(ids, bounds)
-            named = [sha(said[at[i] : max(at[i], at[i + 1] - 1)]).hexdigest() for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(bounds), pa.int64()), pa.array(named), pa.array(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        for batch in slices(batches, text, STEP_BYTES):
+            n, named, decoded = coder(path).digests(pc.fill_null(batch.column(text).cast(pa.string()), ""))
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(named), pa.array(decoded)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -4,6 +4,8 @@ The pre-tokenizer of these vocabularies never puts a space behind another charac
 pre-token, unless in a run of white space. So a text may be cut before every space that a
 character other than white space follows: the pieces' ids, one after another, are the text's ids.
 Pieces repeat, so each is encoded once for each worker and kept in a table of bounded size.
+
+Special strings are no pre-tokens of that kind; vocabulary.py takes only such that no cut falls into.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ import pyarrow.compute as pc
 UNSAFE = re.compile(r" (?:\s|\Z)")
 CUT = re.compile(r"(?= \S)")
 #: Longer texts are cut at a safe place first, so that no step holds more than this many characters in pieces.
-LONG = 1 << 20
+LONG = 1 << 18
+#: Pieces and characters in pieces that a table holds before it starts anew, beyond what one slice of texts needs.
+PIECES, PIECE_CHARS = 250_000, 16 << 20
 
 
 def chunks(text: str, most: int = LONG) -> list[str]:
@@ -40,20 +44,25 @@ def spread(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Indices starts[i], starts[i] + 1, ... lens[i] of them, for each i in turn."""
     ends = np.cumsum(lens)
     total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lens), lens)
+    shift = starts - (ends - lens)
+    # Half the memory where 32 bits are enough.
+    kind = np.int32 if total < 1 << 31 and (not len(starts) or int((starts + lens).max()) < 1 << 31) else np.int64
+    out = np.repeat(shift.astype(kind), lens)
+    out += np.arange(total, dtype=kind)
+    return out
 
 
 class PieceTable:
     """Ids of pieces. encode: gives the ids of each of some pieces as (all ids, number of each)."""
 
-    def __init__(self, encode: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
-        self.encode_pieces, self.most = encode, most
+    def __init__(self, encode: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], most: int = PIECES, most_chars: int = PIECE_CHARS):
+        self.encode_pieces, self.most, self.most_chars = encode, most, most_chars
         self._clear()
 
     def _clear(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.empty(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.chars = 0
         self.starts = np.empty(0, np.int64)
         self.lens = np.empty(0, np.int64)
 
@@ -70,15 +79,16 @@ class PieceTable:
             self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
             self.lens = np.concatenate([self.lens, lens])
             self.used += len(ids)
+            self.chars += sum(map(len, fresh))
             self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
             found = list(map(self.index.__getitem__, pieces))
         return np.array(found, np.int64)
 
     def _parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the pieces of all texts, and where each text's begin (one more at the end)."""
-        if len(self.index) > self.most:
-            self._clear()
         plain = texts.to_pylist()
+        if not plain:
+            return np.empty(0, np.int64), np.zeros(1, np.int64)
         odd = [i for i, x in enumerate(plain) if len(x) > LONG or UNSAFE.search(x)]
         if odd:
             hide = np.zeros(len(plain), bool)
@@ -88,18 +98,20 @@ class PieceTable:
         coded = lists.flatten().dictionary_encode()
         ends = lists.offsets.to_numpy().astype(np.int64)
         ends = ends - ends[0]
-        codes = self.codes([" " + x for x in coded.dictionary.to_pylist()])[coded.indices.to_numpy()] if len(plain) else np.empty(0, np.int64)
-        heads = ends[:-1]
+        others = [" " + x for x in coded.dictionary.to_pylist()]
         firsts = [x.partition(" ")[0] for x in plain]
         for i in odd:
             firsts[i] = ""
-        if len(plain):
-            codes[heads] = self.codes(firsts)
+        parts = [[p for part in chunks(plain[i]) for p in CUT.split(part)] for i in odd]
+        # Room is made before anything is added: codes of one slice are of one table.
+        if len(self.index) + len(others) + len(firsts) + sum(map(len, parts)) > self.most or self.chars > self.most_chars:
+            self._clear()
+        codes = self.codes(others)[coded.indices.to_numpy()]
+        codes[ends[:-1]] = self.codes(firsts)
         if not odd:
             return codes, ends
         runs, lens, at = [], np.diff(ends), 0
-        for i in odd:
-            own = self.codes([p for part in chunks(plain[i]) for p in CUT.split(part)])
+        for i, own in zip(odd, map(self.codes, parts), strict=True):
             runs += [codes[at : ends[i]], own]
             at, lens[i] = ends[i + 1], len(own)
         return np.concatenate([*runs, codes[at:]]), np.concatenate([[0], np.cumsum(lens)])

@@ -32,6 +32,10 @@ class Vocabulary:
             raise ValueError(f"{path}: only byte-level BPE without a normalizer or a prefix space is supported")
         letters = byte_letters()
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        # Texts are cut before spaces, so a special string must hold none and reach for none.
+        for x in spec.get("added_tokens", []):
+            if any(map(str.isspace, x["content"])) or x.get("lstrip") or x.get("rstrip") or x.get("single_word"):
+                raise ValueError(f"{path}: special strings with white space, or that depend on what stands beside them, are not supported")
         self.by_id: dict[int, bytes] = {k: bytes(letters[c] for c in t) for t, k in model["vocab"].items() if t not in self.special}
         own = {v: k for k, v in self.by_id.items()}
         self.ranks = own

@@ -85,6 +85,7 @@ def test_file_format(spark, docs, tmp_path):
     write_token_files(docs, str(tmp_path / "t"), shards=1)
     (file,) = [p for p in (tmp_path / "t").iterdir() if p.suffix == ".parquet"]
     column = {c.path_in_schema: c for c in (pq.ParquetFile(file).metadata.row_group(0).column(i) for i in range(5))}
+    assert "RLE_DICTIONARY" in column["ids.list.element"].encodings or "DELTA_BINARY_PACKED" in column["ids.list.element"].encodings
     assert "DELTA_BINARY_PACKED" in column["doc_id"].encodings and column["doc_id"].has_offset_index and column["doc_id"].has_column_index
     keys = spark.read.parquet(str(tmp_path / "t")).select("doc_id").toPandas().doc_id.tolist()
     assert keys == sorted(keys)
@@ -97,3 +98,62 @@ def test_odd_and_empty(spark, odd, none, tmp_path):
     for name, df, n in (("odd", odd, 6), ("none", none, 0)):
         write_token_files(df, str(tmp_path / name), shards=2)
         assert read_digests(spark, str(tmp_path / name)).count() == n
+
+
+def test_tables_of_pieces_are_bounded(library):
+    """A table that is full starts anew before a slice, and ids stay those of the library."""
+    from relengine.llm.op6_bpe import Coder
+
+    own = Coder(default_path())
+    own.table.most, own.table.most_chars = 300, 4_000
+    rng = random.Random(4)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abcdeé ", k=rng.randint(1, 9))) for _ in range(40)) for _ in range(3)]
+        ids, bounds = own.encode(pa.array(texts))
+        assert all(ids[bounds[i] : bounds[i + 1]].tolist() == encoded(library, t) for i, t in enumerate(texts))
+        assert len(own.table.index) <= 300 + 3 * 45
+
+
+def test_parts_of_a_long_text(library):
+    """A text that goes part by part has the digests of the whole."""
+    rng = random.Random(5)
+    text = " ".join(rng.choice(["word", "other", "日本", "x" * 50, "a\n", "<|endoftext|>"]) for _ in range(120_000))
+    n, named, decoded = coder(default_path()).digests(pa.array([text]))
+    ids = encoded(library, text)
+    assert (n.tolist(), named, decoded) == ([len(ids)], [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()], [hashlib.sha256(text.encode()).hexdigest()])
+
+
+def test_tokens_that_no_merges_reach():
+    """A token of the file that merges never make is never given, though it is the longest match."""
+    from types import SimpleNamespace
+
+    from relengine.llm.op6_bpe import Backtracking
+
+    v = SimpleNamespace(by_id={0: b"a", 1: b"b", 2: b"c", 256: b"ab", 257: b"bc", 258: b"abc"}, merges={256: (0, 1), 257: (1, 2), 258: (0, 257)})
+    engine = Backtracking(v)
+    assert b"abc" not in engine.id_of and engine.encode(b"abc") == [256, 2] and engine.encode(b"bc") == [257] and engine.encode(b"cab") == [2, 256]
+
+
+@pytest.mark.parametrize("added", [{"content": "<a b>"}, {"content": "<x>", "lstrip": True}, {"content": "<x>", "rstrip": True}, {"content": "<x>", "single_word": True}])
+def test_special_strings_that_cuts_would_split(tmp_path, added):
+    import json
+
+    from relengine.llm.vocabulary import Vocabulary
+
+    spec = json.load(open(default_path(), encoding="utf-8"))
+    spec["added_tokens"].append({"id": 50300, "lstrip": False, "rstrip": False, "single_word": False, "normalized": False, "special": True} | added)
+    (tmp_path / "v.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        Vocabulary(str(tmp_path / "v.json"))
+
+
+def test_balanced_batches():
+    from relengine.llm.common import balanced
+
+    texts = ["x" * n for n in (10, 10, 500, 10, 10, 10, 3000, 1)] * 3
+    parts = [pa.RecordBatch.from_pydict({"i": list(range(i, min(i + 5, len(texts)))), "text": texts[i : i + 5]}) for i in range(0, len(texts), 5)]
+    got = list(balanced(iter(parts), "text", 1000))
+    assert [k for b in got for k in b.column("i").to_pylist()] == list(range(len(texts)))
+    sizes = [sum(map(len, b.column("text").to_pylist())) for b in got]
+    assert all(n <= 1000 or b.num_rows == 1 for n, b in zip(sizes, got, strict=True)) and all(a + b > 1000 for a, b in zip(sizes, sizes[1:], strict=False))
+    assert list(balanced(iter([]))) == []
