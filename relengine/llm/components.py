@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relengine.llm.common import durable
+from relengine.llm.common import durable, free
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -19,7 +19,7 @@ def _mark(edges: DataFrame) -> tuple:
     return r["n"], r["h"]
 
 
-def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node and root (the least node of its component) of every node of an edge.
 
     edges: a and b, of one orderable type; loops, repeated and reversed edges don't matter, edges
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
     """
     edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and b is not null and a <> b").distinct(), "components")
     before = None
-    for _ in range(most):
+    while True:  # each round makes a node's root smaller or leaves all as they are
         now = _mark(edges)
         if now == before or now[0] == 0:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
@@ -39,5 +39,5 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         # Small star: a node and its smaller neighbours go to the least of these.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = durable(small, "components")
-    raise RuntimeError(f"the components did not settle in {most} rounds")
+        last, edges = edges, durable(small, "components")
+        free(last)

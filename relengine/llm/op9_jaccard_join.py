@@ -1,21 +1,25 @@
 """A similarity self-join on word shingles, by rare-first prefix filtering.
 
-Documents link if 100 * |intersection| >= THRESHOLD * |union| of their sets of shingles. The join
-returns the components of all links, and is exact.
+Documents link if 100 * |intersection| >= THRESHOLD * |union| of their sets of shingles, which stand
+as 64-bit hashes. The join returns the components of all links, or the links themselves, and is
+exact up to collisions of these hashes.
 
 1. Documents with equal sets form classes; only classes are joined. A class is named by a 64-bit
    digest of its set; a second digest checks that no two sets share a name (else the seed changes).
 2. Shingles are ordered by how often the corpus has them, rarest first, and by hash. Frequencies
-   are sums of hashed counters over all documents, of a fixed number; the order only has to be the
-   same everywhere, it needn't be exact.
+   are sums of hashed counters over all documents, whose number follows the size of the corpus
+   between fixed bounds; the order only has to be the same everywhere, it needn't be exact.
 3. Two sets that link share a shingle of their first n - ceil(t n) + 1 ones. These prefixes are
    sorted by (shingle, size, class) over range partitions, so a frequent shingle spreads over many
    partitions, and what has no neighbour of a fitting size goes at once (length filter).
 4. A run is all classes of one shingle. First each meets ROUNDS leaders of its run only: classes
    of which other texts share most of the prefix. Verified links give components. Then all pairs
    of a run that lie in different components follow, by the length and positional filters,
-   skipping pairs that share the shingle before as well, which another run pairs. No pair within a
-   component is emitted, and no link between components is lost: the components are exact.
+   skipping pairs that share the shingle before as well, which another run pairs. The smaller set of
+   a pair needs a shorter prefix, n - ceil(2t / (1 + t) n) + 1, so a passage that many sets share,
+   but not enough to link, is in no such prefix and its run has no pairs. A long run is cut into
+   blocks of about RUN classes that meet the run in tasks of their own. No pair within a component
+   is emitted, and no link between components is lost: the components are exact.
 5. A pair is verified once. The suffix filter bounds the overlap by the sizes of the parts into
    which fixed values cut both sets, from short signatures. Only the sets that are left are made
    again from the texts, sent and intersected.
@@ -31,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relengine.llm.common import durable, slices, table
+from relengine.llm.common import durable, free, slices, table
 from relengine.llm.components import connected_components
 
 #: Words of a shingle, and the least similarity in per cent.
 SHINGLE, THRESHOLD = 5, 80
-#: Hashed counters of shingles, as a power of two, and in a row of them.
-COUNTERS, CHUNK = 21, 1 << 16
+#: Hashed counters of shingles, as powers of two, at least and at most (int32, in each worker), and in a row of them.
+COUNTERS, CHUNK = (21, 24), 1 << 16
+#: Bits of the maps that tell which sets are wanted.
+MARKS = 24
+#: Classes of a block of a long run.
+RUN = 2_000
 #: Bytes of text that are hashed together.
 BLOCK = 2 << 20
 #: Parts of the range of hashes that the suffix filter counts in.
@@ -117,11 +125,17 @@ def signature(own: np.ndarray) -> bytes:
     return np.minimum(np.bincount((own >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS), 255).astype(np.uint8).tobytes()
 
 
-def _first_scan(docs: DataFrame, seed: int) -> DataFrame:
+def _counters_for(docs: DataFrame) -> int:
+    """The counters that a corpus of this size needs, as a power of two: about one for each 32 shingles, within bounds. A shingle begins at each word, of six bytes or so."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(max(COUNTERS[0], (total // 192).bit_length()), COUNTERS[1])
+
+
+def _first_scan(docs: DataFrame, seed: int, power: int) -> DataFrame:
     """For each document its number of shingles and its set's names; for each partition its counters, packed, in rows of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(1 << COUNTERS, np.int32)
+        counters = np.zeros(1 << power, np.int32)
         empty = True
         for batch in slices(batches):
             keys, sizes, a, b, held, marks = batch.column("key"), [], [], [], [], []
@@ -133,7 +147,7 @@ def _first_scan(docs: DataFrame, seed: int) -> DataFrame:
                 held.append(own)
                 marks.append(signature(own))
             every = np.concatenate(held)
-            counters += np.bincount((every >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=1 << COUNTERS).astype(np.int32)
+            np.add.at(counters, (every >> np.uint64(64 - power)).astype(np.int64), 1)
             empty = False
             none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
             yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(marks, pa.binary()), *none], names=["key", "n", "node", "check", "sig", "chunk", "counters"])
@@ -154,8 +168,8 @@ def _packed(counters: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield k, zlib.compress(own.astype("<i4").tobytes(), 1)
 
 
-def _frequencies(scanned: DataFrame) -> np.ndarray:
-    """The sums of all partitions' counters: 2 ** COUNTERS numbers, each at most 2 ** 23, whatever the corpus's size."""
+def _frequencies(scanned: DataFrame, power: int) -> np.ndarray:
+    """For each of 2 ** power counters the logarithm of all partitions' sum, in 2 ** -18 steps: less than 2 ** 24, and as exact as the sum however large that is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -164,12 +178,13 @@ def _frequencies(scanned: DataFrame) -> np.ndarray:
                 own = np.frombuffer(zlib.decompress(packed), "<i4").astype(np.int64)
                 sums[k] = sums[k] + own if k in sums else own
         for k, total in sums.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counters": pa.array([zlib.compress(np.minimum(total, 1 << 23).astype("<u4").tobytes(), 1)], pa.binary())})
+            steps = (np.log2(total + 1) * (1 << 18)).astype("<u4")
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counters": pa.array([zlib.compress(steps.tobytes(), 1)], pa.binary())})
 
-    n = (1 << COUNTERS) // CHUNK
-    rows = scanned.filter("chunk is not null").select("chunk", "counters").repartition(n, "chunk").mapInArrow(run, "chunk int, counters binary").collect()
-    out = np.zeros(1 << COUNTERS, np.uint32)
-    for r in rows:
+    n = max(1, (1 << power) // CHUNK)
+    rows = scanned.filter("chunk is not null").select("chunk", "counters").repartition(n, "chunk").mapInArrow(run, "chunk int, counters binary")
+    out = np.zeros(1 << power, np.uint32)
+    for r in rows.toLocalIterator():
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counters"]), "<u4")
     return out
 
@@ -180,6 +195,7 @@ def _prefixes(docs: DataFrame, frequencies, seed: int, threshold: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         counts = frequencies.value
+        shift = np.uint64(65 - len(counts).bit_length())
         for batch in slices(batches):
             tokens, sizes, nodes, lens = [], [], [], []
             for own in shingle_sets(batch.column("text").to_pylist(), seed):
@@ -190,7 +206,7 @@ def _prefixes(docs: DataFrame, frequencies, seed: int, threshold: int) -> DataFr
                 if len(met) > 1_000_000:
                     met.clear()
                 met.add(node)
-                order = counts[(own >> np.uint64(64 - COUNTERS)).astype(np.int64)].astype(np.uint64) << np.uint64(40) | own >> np.uint64(24)
+                order = counts[(own >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(40) | own >> np.uint64(24)
                 # own is ascending, and a stable order keeps ties that way.
                 own = own[np.argsort(order, kind="stable")[: n - -(-threshold * n // 100) + 1]]
                 tokens.append(own)
@@ -235,16 +251,29 @@ def _runs(prefixes: DataFrame, threshold: int) -> DataFrame:
 
 
 def _marked(nodes: DataFrame) -> np.ndarray:
-    """A bit map of fixed size in which every node's bit is set."""
+    """A bit map of fixed size in which every node's bit is set, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << COUNTERS, np.int32)
+        bits = np.zeros(1 << MARKS - 3, np.uint8)
         for batch in batches:
-            bits[batch.column("node").to_numpy() & ((1 << COUNTERS) - 1)] = 1
-        for k, packed in _packed(bits):
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "counters": pa.array([packed], pa.binary())})
-
-    return _frequencies(nodes.select("node").mapInArrow(run, "chunk int, counters binary")) > 0
+            at = batch.column("node").to_numpy() & ((1 << MARKS) - 1)
+            np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
+
+    # Maps are joined in a few tasks, then on the driver one by one.
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << MARKS - 3, np.uint8)
+        for batch in batches:
+            for packed in batch.column("bits").to_pylist():
+                bits |= np.frombuffer(zlib.decompress(packed), np.uint8)
+        if bits.any():
+            yield pa.RecordBatch.from_pydict({"bits": pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())})
+
+    out = np.zeros(1 << MARKS - 3, np.uint8)
+    for r in nodes.select("node").mapInArrow(run, "bits binary").repartition(8).mapInArrow(union, "bits binary").toLocalIterator():
+        out |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
@@ -257,7 +286,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
             found, sets = [], []
             for own in shingle_sets(batch.column("text").to_pylist(), seed):
                 node = set_names(own)[0]
-                if len(own) and bits[node & ((1 << COUNTERS) - 1)] and node not in met:
+                bit = node & ((1 << MARKS) - 1)
+                if len(own) and bits[bit >> 3] >> (bit & 7) & 1 and node not in met:
                     if len(met) > 1_000_000:
                         met.clear()
                     met.add(node)
@@ -332,8 +362,74 @@ def _leaders(runs: DataFrame, threshold: int) -> DataFrame:
     return pairs.select(F.least("node", "m.node").alias("a"), F.greatest("node", "m.node").alias("b")).distinct()
 
 
+def _pairs_of_runs(runs: DataFrame, roots: DataFrame | None, threshold: int) -> DataFrame:
+    """Pairs a < b of all classes of a run that may link, each once: those of different components, or all if there are no roots."""
+    placed = runs.select("token", "n", "node", "pos")
+    if roots is None:
+        placed = placed.withColumn("root", F.col("node"))
+    else:
+        placed = placed.join(roots, "node", "left").select("token", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
+        mixed = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("token")
+        placed = placed.join(mixed, "token", "left_semi")
+    placed = durable(placed, "op9-mixed")
+    sizes = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
+    # The run's blocks, and its largest component, whose members meet the others only.
+    facts = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("all")).select("token", F.col("m.root").alias("largest"), F.ceil(F.col("all") / RUN).cast("int").alias("blocks"))
+    before = F.lag("token").over(Window.partitionBy("node").orderBy("pos"))
+    cross = durable(placed.withColumn("before", before).join(facts, "token"), "op9-cross")
+    free(placed)
+    block = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int").alias("block")
+    own = F.col("root") == F.col("largest")
+    # The smaller set of a pair (of equal ones that of the smaller name) has the shingle in its short prefix.
+    short = F.col("pos") <= F.col("n") - F.ceil(2 * threshold * F.col("n") / (100 + threshold))
+    columns = ("n", "node", "pos", "root", "before")
+    x = cross.filter(short).select("token", block, own.alias("own"), *(F.col(c).alias(c + "1") for c in columns))
+    y = cross.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), own.alias("own"), *(F.col(c).alias(c + "2") for c in columns))
+    met = (
+        (F.struct("n1", "node1") < F.struct("n2", "node2"))
+        & (F.col("root1") != F.col("root2"))
+        & _may_overlap(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), threshold)
+        & (~F.col("before1").eqNullSafe(F.col("before2")) | F.col("before1").isNull())
+    )
+    meet = lambda p, q: p.drop("own").join(q.drop("own"), ["token", "block"]).filter(met)
+    found = meet(x.filter("not own"), y).union(meet(x.filter("own"), y.filter("not own")))
+    return found.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
+
+
+def _classes(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, np.ndarray, int]:
+    """What the first scan finds: documents, classes and frequencies, and its seed; with another seed if two sets share a name."""
+    power = _counters_for(docs)
+    while True:
+        scanned = durable(_first_scan(docs, seed, power), "op9-documents")
+        known = scanned.filter("chunk is null").select("key", "n", "node", "check", "sig")
+        classes = known.filter("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+        classes = durable(classes, "op9-classes")
+        if classes.filter("c1 <> c2").isEmpty():
+            frequencies = _frequencies(scanned, power)
+            return known, classes, frequencies, seed
+        free(scanned, classes)
+        seed += 1
+
+
+def similar_pairs(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """All links between classes, and what class each row is of.
+
+    The first result has a and b, the names of two classes of different sets that link, each pair
+    once; the second key, n_shingles and class of every row of docs. Rows of one class have equal
+    sets and are linked with each other; a row without words has no class (null) and no links.
+    """
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    known, classes, counts, seed = _classes(docs, seed)
+    frequencies = docs.sparkSession.sparkContext.broadcast(counts)
+    runs = durable(_runs(_prefixes(docs, frequencies, seed, threshold), threshold), "op9-runs")
+    near = durable(_suffix_filter(_pairs_of_runs(runs, None, threshold), classes, threshold), "op9-rest")
+    found = durable(_verified(near, docs, seed, threshold), "op9-links")
+    free(runs, near)
+    return found, known.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("class"))
+
+
 def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD, seed: int = 0) -> DataFrame:
-    """key, n_shingles and component_id of every row of docs; docs is read four times.
+    """key, n_shingles and component_id of every row of docs; docs is read five times, once for its size alone.
 
     component_id is the least key that links reach from the row's, its own included. Null and
     empty texts and texts of white space have no shingles and no links. Rows of the same key are
@@ -342,43 +438,24 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = docs.schema["key"].dataType
-    scanned = durable(_first_scan(docs, seed), "op9-documents")
-    known = scanned.filter("chunk is null").select("key", "n", "node", "check", "sig")
-    classes = known.filter("n > 0").groupBy("node").agg(F.min("key").alias("least"), F.min("check").alias("c1"), F.max("check").alias("c2"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = durable(classes, "op9-classes")
-    if not classes.filter("c1 <> c2").isEmpty():
-        return similar_components(docs, "text", "key", threshold, seed + 1).withColumnRenamed("key", key)
-    frequencies = docs.sparkSession.sparkContext.broadcast(_frequencies(scanned))
-    runs = durable(_runs(_prefixes(docs, frequencies, seed, threshold), threshold), "op9-runs")
+    known, classes, counts, seed = _classes(docs, seed)
+    frequencies = docs.sparkSession.sparkContext.broadcast(counts)
+    prefixes = durable(_runs(_prefixes(docs, frequencies, seed, threshold), threshold), "op9-runs")
 
     # A class that shares much of its prefix is a good one to meet first.
     prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    share = runs.groupBy("node").agg((10 * F.count("*") / F.first(prefix)).cast("int").alias("share"))
-    runs = durable(runs.join(share, "node"), "op9-runs")
+    share = prefixes.groupBy("node").agg((10 * F.count("*") / F.first(prefix)).cast("int").alias("share"))
+    runs = durable(prefixes.join(share, "node"), "op9-runs")
+    free(prefixes)
+    frequencies.destroy()
     pairs = durable(_suffix_filter(_leaders(runs, threshold), classes, threshold), "op9-leaders")
     first = durable(_verified(pairs, docs, seed, threshold), "op9-links")
     roots = durable(connected_components(first), "op9-roots")
 
-    # What of a run lies in different components.
-    placed = runs.join(roots, "node", "left").select("token", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 <> r2").select("token")
-    placed = durable(placed.join(mixed, "token", "left_semi"), "op9-mixed")
-    sizes = placed.groupBy("token", "root").agg(F.count("*").alias("c"))
-    large = sizes.groupBy("token").agg(F.max(F.struct("c", "root")).alias("m")).select("token", F.col("m.root").alias("largest"))
-    before = F.lag("token").over(Window.partitionBy("node").orderBy("pos"))
-    placed = durable(placed.withColumn("before", before).join(large, "token"), "op9-cross")
-    # Members of the largest component of a run meet the others only: none of its own.
-    x = placed.filter("root <> largest").select("token", *(F.col(c).alias(c + "1") for c in ("n", "node", "pos", "root", "before")))
-    y = placed.select("token", "largest", *(F.col(c).alias(c + "2") for c in ("n", "node", "pos", "root", "before")))
-    met = (
-        (F.col("root1") != F.col("root2"))
-        & ((F.col("root2") == F.col("largest")) | (F.col("node1") < F.col("node2")))
-        & _may_overlap(F.col("n1"), F.col("pos1"), F.col("n2"), F.col("pos2"), threshold)
-        & (~F.col("before1").eqNullSafe(F.col("before2")) | F.col("before1").isNull())
-    )
-    rest = x.join(y, "token").filter(met).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti")
-    second = durable(_verified(durable(_suffix_filter(rest, classes, threshold), "op9-rest"), docs, seed, threshold), "op9-links")
+    rest = _pairs_of_runs(runs, roots, threshold).join(pairs, ["a", "b"], "left_anti")
+    last = durable(_suffix_filter(rest, classes, threshold), "op9-rest")
+    second = durable(_verified(last, docs, seed, threshold), "op9-links")
+    free(runs, roots, pairs, last)
 
     # Components of all links, and of rows that share a key.
     every = first.union(second)
@@ -389,6 +466,7 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     of_class = classes.join(final, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     ids = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
     placed_ids = durable(of_class.join(ids, "root").select("node", "component_id"), "op9-ids")
+    free(first, second, final, classes)
     out = known.join(placed_ids, "node", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).cast(kind)
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
