@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relengine.llm.common import durable, table
-from relengine.llm.op2_mix import mixed
+from relengine.llm.op2_mix import by_length, mixed
 from relengine.llm.op3_exact_dedup import exact_dedup
 from relengine.llm.op5_quality_rules import quality_filter, trusted_keys
 from relengine.llm.op6_bpe import bpe_round_trip
@@ -36,8 +36,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of their sources takes them."""
-    return mixed(docs)
+    """Documents as often as the mix of their sources takes them; short texts are preferred less."""
+    return mixed(docs, preference=by_length)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,10 +8,10 @@ reason to reject. A document's score is the mean weight of its n-grams, so lengt
 stays if the score is THRESHOLD or more. N-grams are a word, a word and the next one (or the end),
 and the last two characters of a word, each hashed to one of BUCKETS buckets.
 
-The corpus counts cover every document, and are summed in each partition before the shuffle. The
-target is fitted on a sample of labelled rows of bounded size (TARGET_ROWS, those with the least
-hash of the key), so that its keys can be broadcast. The BUCKETS weights go through the driver
-into the plan as a constant, whose size depends on nothing else.
+The corpus counts cover every document and the target all trusted ones; both are summed in each
+partition before the shuffle. Trusted documents are found by a semi-join on the key: Spark sends
+the keys to all where they are few, and otherwise moves rows by key. The BUCKETS weights go through
+the driver into the plan as a constant, whose size depends on nothing else.
 """
 
 from __future__ import annotations
@@ -27,8 +27,6 @@ from relengine.llm.common import table, words
 BUCKETS = 1 << 14
 #: N-grams that are added to the target, by the shares that the corpus has of BUCKETS buckets.
 PRIOR = 8 * BUCKETS
-#: Labelled rows that the target is fitted on at most.
-TARGET_ROWS = 20_000
 #: Least mean weight of a document that stays. Clean text has about 0, symbols or capitals at every word below -1.
 THRESHOLD = -0.2
 #: Words of a window whose repeats are counted, and least words of a document.
@@ -36,18 +34,21 @@ WINDOW, LEAST_WORDS = 5, 10
 SYMBOLS = r"[#*$%&|<>]"
 
 
-def ngrams(w: Column, buckets: int = BUCKETS) -> Column:
-    """The buckets of all n-grams of an array of words: three for each word."""
+def _grams(x: Column, after: Column, buckets: int) -> list[Column]:
+    """The buckets of the three n-grams of a word and the one after it, which is null at the end."""
     mask = lambda h: h.bitwiseAND(buckets - 1).cast("int")
-    return F.concat(
-        F.transform(w, lambda x: mask(F.xxhash64(x))),
-        F.transform(w, lambda x, i: mask(F.xxhash64(x, F.get(w, i + 1)))),
-        F.transform(w, lambda x: mask(F.xxhash64(F.substring(x, -2, 2), F.lit(1)))),
-    )
+    return [mask(F.xxhash64(x)), mask(F.xxhash64(x, after)), mask(F.xxhash64(F.substring(x, -2, 2), F.lit(1)))]
+
+
+def _counts(docs: DataFrame, text: str, buckets: int, name: str) -> DataFrame:
+    """b and how many n-grams of all rows have this bucket."""
+    w = docs.select(words(F.col(text)).alias("w")).select("w", F.posexplode("w").alias("i", "x"))
+    grams = w.select(F.explode(F.array(*_grams(F.col("x"), F.get("w", F.col("i") + 1), buckets))).alias("b"))
+    return grams.groupBy("b").agg(F.count(F.lit(1)).alias(name))
 
 
-def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, most: int = TARGET_ROWS, prior: int | None = None) -> list[float]:
-    """The weight of each bucket. trusted: keys of rows that labels call good; most of them count, by least hash.
+def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", buckets: int = BUCKETS, prior: int | None = None) -> list[float]:
+    """The weight of each bucket. trusted: keys of rows that labels call good; null keys are nobody's.
 
     prior: n-grams that are added to the target by the corpus's shares; with no trusted row all
     weights are 0. By default it is PRIOR for BUCKETS buckets, which it was measured for; for another
@@ -55,20 +56,18 @@ def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     """
     if prior is None:
         prior = PRIOR if buckets == BUCKETS else 0
-    spark = docs.sparkSession
-    order = F.xxhash64(F.lit("target"), F.col("_key"))
-    sample = trusted.select(F.col(key).alias("_key")).filter("_key is not null").distinct().orderBy(order, "_key").limit(most)
-    marked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample.withColumn("good", F.lit(1))), "_key", "left")
-    grams = marked.select(F.coalesce("good", F.lit(0)).alias("good"), words(F.col("_text")).alias("w")).select("good", F.explode(ngrams(F.col("w"), buckets)).alias("b"))
-    counts = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
-    every = spark.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").na.fill(0, ["n", "g"])
-    rows = every.select("b", "n", "g").collect()  # BUCKETS rows
-    n, g = sum(r.n for r in rows), sum(r.g for r in rows)
-    out = [0.0] * buckets
-    for r in rows:
-        share = (r.n + 1) / (n + buckets)
-        target = (r.g + prior * share) / (g + prior) if prior else (r.g + 1) / (g + buckets)
-        out[r.b] = math.log(target) - math.log(share)
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    good = rows.join(trusted.select(F.col(key).alias("_key")), "_key", "left_semi")
+    counts = _counts(rows, "_text", buckets, "n").join(_counts(good, "_text", buckets, "g"), "b", "left")
+    n_of, g_of = [0] * buckets, [0] * buckets
+    for r in counts.collect():  # BUCKETS rows at most
+        n_of[r["b"]], g_of[r["b"]] = r["n"], r["g"] or 0
+    n, g = sum(n_of), sum(g_of)
+    out = []
+    for own, seen in zip(n_of, g_of, strict=True):
+        share = (own + 1) / (n + buckets)
+        target = (seen + prior * share) / (g + prior) if prior else (seen + 1) / (g + buckets)
+        out.append(math.log(target) - math.log(share))
     return out
 
 
@@ -77,7 +76,8 @@ def quality_columns(docs: DataFrame, log_ratio: list[float], text: str = "text",
 
     A null text has no words and fails the base rules, as an empty one does. Every row is judged
     alone: repeated rows and ties get the same verdict. Columns of these names are replaced. A
-    score of a text without words is 0.
+    score of a text without words is 0. Filters on the new columns stay above the steps that make
+    them.
     """
     own = F.coalesce(F.col(text), F.lit(""))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
@@ -87,6 +87,7 @@ def quality_columns(docs: DataFrame, log_ratio: list[float], text: str = "text",
     constant = F.expr("cast(split('" + ",".join(map(repr, log_ratio)) + "', ',') as array<double>)")
     w, n = F.col("__rules_w"), F.size("__rules_w")
     parts = docs.select(*kept, words(F.col(text)).alias("__rules_w"), lines.alias("__rules_lines"), F.regexp_count(own, F.lit(SYMBOLS)).cast("long").alias("n_symbols"))
+    of_word = lambda x, i: sum((F.get(constant, b) for b in _grams(x, F.get(w, i + 1), len(log_ratio))), F.lit(0.0))
     window = lambda i: [F.get(w, i + k) for k in range(WINDOW)]
     starts = F.sequence(F.lit(0), n - WINDOW)
     hashed = parts.select(
@@ -97,7 +98,7 @@ def quality_columns(docs: DataFrame, log_ratio: list[float], text: str = "text",
         F.char_length(F.array_join("__rules_w", "")).cast("long").alias("word_chars"),
         (F.size("__rules_lines") - F.size(F.array_distinct("__rules_lines"))).cast("long").alias("n_dup_lines"),
         F.when(n >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*window(i)))).alias("__rules_h"),
-        F.when(n > 0, F.aggregate(ngrams(w, len(log_ratio)), F.lit(0.0), lambda a, b: a + F.get(constant, b)) / (3 * n)).otherwise(0.0).alias("score"),
+        F.when(n > 0, F.aggregate(F.transform(w, of_word), F.lit(0.0), lambda a, b: a + b) / (3 * n)).otherwise(0.0).alias("score"),
     )
     # Equal windows have equal hashes; where two hashes are equal, the windows themselves are sorted.
     some = F.size(F.array_distinct("__rules_h")) < F.size("__rules_h")
@@ -113,7 +114,11 @@ def quality_columns(docs: DataFrame, log_ratio: list[float], text: str = "text",
     repeats = F.when(F.size(p) > 0, covered).otherwise(0).cast("long")
     counted = places.select(*kept, *scored, repeats.alias("n_repeat_words"))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return counted.select(*kept, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"))
+    facts = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "score", (~failed & (F.col("score") >= threshold)).alias("kept"))
+    # A filter that were pushed below these steps would compute all of them again for each word. None
+    # is pushed below a projection that isn't deterministic, and none of the new columns goes without it.
+    held = counted.select(*kept, F.when(F.spark_partition_id() >= 0, facts).alias("__rules"))
+    return held.select(*kept, *(F.col(f"__rules.{c}").alias(c) for c in names))
 
 
 def trusted_keys(labels: DataFrame) -> DataFrame:
@@ -121,13 +126,10 @@ def trusted_keys(labels: DataFrame) -> DataFrame:
     return labels.filter("quality = 1").select("doc_id")
 
 
-def quality_filter(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that the rules keep."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), "text")
-    # A filter that is pushed below the steps of quality_columns computes all of them again for each
-    # word. It stays above a projection that isn't deterministic and that it needs.
-    judged = quality_columns(packed, weights(docs, trusted)).withColumn("__rules_here", F.spark_partition_id())
-    return judged.filter(F.col("kept") & (F.col("__rules_here") >= 0)).select("_doc.*")
+def quality_filter(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs, all columns, that the rules keep; trusted has keys, in a column of the same name. Null and empty texts go, repeated rows stay or go together."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), F.col(text).alias("_text"))
+    return quality_columns(packed, weights(docs, trusted, text, key), "_text").filter("kept").select("_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,51 @@ def test_preference(spark):
     assert first > 1.5 * rest and sum(r.copies for r in got) >= 196
 
 
+def test_unequal_probabilities(spark):
+    """Copies follow the preference: expected ones are met on average, and what the limit of 3 cuts off others get."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(3000).selectExpr("id AS doc_id", "'a b c d e' AS text", "if(id % 3 = 0, 's', 't') AS source")
+    liked = F.when(F.col("doc_id") % 10 == 0, 8.0).when(F.col("doc_id") % 10 < 5, 1.0).otherwise(0.25)
+    mean = {}
+    for seed in ("a", "b", "c"):
+        for r in mix(df, preference=liked, seed=seed).groupBy("source", (F.col("doc_id") % 10).alias("k")).agg(F.avg("copies").alias("m")).collect():
+            mean.setdefault((r.source, 8.0 if r.k == 0 else 1.0 if r.k < 5 else 0.25), []).append(r.m)
+    for s, size in (("s", 1000), ("t", 2000)):
+        n = {8.0: size // 10, 1.0: 4 * size // 10, 0.25: 5 * size // 10}
+        copies, rate = plain_targets({"s": 1000, "t": 2000})[s], None
+        full: set = set()
+        while True:
+            rate = (copies - 3 * sum(n[p] for p in full)) / sum(n[p] * p for p in n if p not in full)
+            more = {p for p in n if p not in full and rate * p >= 3}
+            if not more:
+                break
+            full |= more
+        for p in n:
+            assert abs(sum(mean[s, p]) / len(mean[s, p]) - min(3, rate * p)) < 0.06 + 2e-2 * rate
+
+
+def test_odd_preferences(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(60).selectExpr("id AS doc_id", "'a b c' AS text", "'s' AS source", "CASE id % 5 WHEN 0 THEN NULL WHEN 1 THEN 0D WHEN 2 THEN -1D WHEN 3 THEN double('NaN') ELSE 1D END AS liked")
+    got = mix(df, preference=F.col("liked")).collect()
+    assert all(r.copies == 0 for r in got if r.doc_id % 5 in (1, 2)) and sum(r.copies for r in got) == 60
+    assert sum(r.copies for r in mix(df, preference=F.lit(0.0)).collect()) == 0
+
+
+def test_inclusion_does_not_follow_the_length(spark):
+    """With one preference, short and long documents are taken equally often, though rounds are filled up with what fits."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(2000).selectExpr("id AS doc_id", "CAST(if(id % 2 = 0, 10, 300) AS long) AS words", "if(id % 4 < 2, 's', 't') AS source")
+    found = []
+    for seed in ("a", "b", "c", "d"):
+        got = mix(df, text="doc_id", size=F.col("words"), seed=seed).groupBy("size").agg(F.avg(F.col("copies") / (F.col("target") / F.col("source_size"))).alias("m")).collect()
+        found.append({r["size"]: r.m for r in got})
+    assert all(abs(sum(x[k] for x in found) / len(found) - 1) < 0.03 for k in (10, 300))
+
+
 def test_mix_odd(odd, none):
     assert mix(odd).count() == 6 and mixed(odd).columns == odd.columns
     assert mix(none).count() == 0 and mixed(none).count() == 0
@@ -137,6 +182,36 @@ def test_rules_odd(spark, odd, none):
     assert quality_filter(none, keys).count() == 0 and quality_filter(odd, keys.limit(0)).count() >= 0
 
 
+def test_every_trusted_row_counts(spark):
+    """No trusted row is left out, however many there are."""
+    rows = [(i, f"common w{i % 7}") for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = weights(docs, docs.select("doc_id"), buckets=64)
+    assert all(abs(w) < 1e-3 for w in every)
+    # One row of the trusted ones is of another kind: its word counts as one.
+    odd = spark.createDataFrame([*rows, (30_000, "strange")], "doc_id long, text string")
+    with_, without = (weights(odd, odd.filter(f"doc_id < {n}").select("doc_id"), buckets=1 << 14) for n in (30_001, 30_000))
+    assert max(a - b for a, b in zip(with_, without, strict=True)) > math.log(1.9)
+
+
+def test_filters_stay_above(spark, rows):
+    """A caller's filter on any new column ends, and keeps what it should."""
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string, source string")
+    found = quality_columns(docs, [0.01 * (i % 5 - 2) for i in range(1 << 14)])
+    every = found.collect()
+    for test in ("kept", "not base_failed", "score > 0", "n_repeat_words > 0", "n_words > 50 and n_symbols = 0"):
+        got = found.filter(test)
+        want = sum(bool(eval(test.replace("not ", "not r.") if test.startswith("not") else "r." + test.replace(" = ", " == ").replace("and n", "and r.n"))) for r in every)
+        assert got.select("doc_id").count() == want
+        assert got.count() == want
+
+
+def test_other_column_names(spark):
+    df = spark.createDataFrame([(i, " ".join(f"w{i * j % 17}{j}" for j in range(40)), i) for i in range(30)] + [(99, None, 1)], "id long, body string, _text int")
+    kept = quality_filter(df, df.select("id"), text="body", key="id")
+    assert kept.columns == df.columns and kept.count() == 30
+
+
 @pytest.mark.parametrize("n_trusted", [0, 20, 75])
 def test_few_labels(spark, n_trusted):
     """Clean texts of four languages stay, however few labels there are; with enough of them junk goes."""
