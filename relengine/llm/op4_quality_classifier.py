@@ -1,9 +1,10 @@
 """A quality classifier of supervised subword embeddings.
 
 A document is the mean of the vectors of its features, a softmax output follows. Features are
-words, pairs of a word and the next one, and byte n-grams of 3 and 5 that may reach over a word's
-ends; each is hashed to one of BUCKETS vectors. All pairs of a word with itself share one vector,
-so that what is learned of one repeated word holds for others. Vectors and output are learned by
+words, pairs of a word and the next one, and character n-grams of each word with a mark at its
+beginning and end; each is hashed to one of BUCKETS vectors. A pair of a word with itself is the
+feature "repeated", whatever the word: else nothing of one text's repeats would hold for another's.
+Vectors and output are learned by
 stochastic gradient descent in numpy, on the driver, from a bounded sample of labelled rows.
 
 The output is linear in the mean, so scoring needs one number for each bucket, the product of its
@@ -20,55 +21,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relengine.llm.common import slices, table
-from relengine.llm.labelled import SAMPLE_BYTES, SAMPLE_ROWS, byte_blocks, fold, sample
+from relengine.llm.labelled import SAMPLE_CHARS, SAMPLE_ROWS, fold, sample, text_blocks
 
 BUCKETS, DIMENSIONS = 1 << 18, 8
-EPOCHS, RATE = 6, 0.5
-GRAMS = (3, 5)
-PAD = 8
+#: Rounds over the sample, and the step of the vectors and, as a share of it, of the output. Steps are large as a feature's share of a document is small.
+EPOCHS, RATE, SLOW = 6, 30.0, 0.01
+#: Characters of an n-gram, the marks at a word's ends included.
+GRAMS = (3, 4, 5)
 #: Rows of which crc32(key) mod FOLDS is 0 are held out.
 FOLDS = 5
 #: Least score of the prediction 1.
 CUT = 0.3
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: A multiplier for each place in a word, repeating.
-_PLACES = np.cumprod(np.full(64, 0xD6E8FEB86659FD93, np.uint64)) | np.uint64(1)
-#: A number for each byte.
-_BYTES = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) ^ np.uint64(0x94D049BB133111EB)
+_STEP = np.uint64(0xD6E8FEB86659FD93)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _STEP
+    return h ^ (h >> np.uint64(29))
 
 
 def _bucket(h: np.ndarray, salt: int) -> np.ndarray:
-    return (((h ^ np.uint64(salt)) * _ODD) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return ((_mixed(h ^ np.uint64(salt)) * _ODD) >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
 
 
-def features(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of all features of a block, and the number of the piece that each is of."""
-    piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(raw))))
+    piece = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(points))))
     first = int(starts[0])
     found, of = [], []
-    solid = raw != 32
+    solid = points != 32
+    spaces = np.concatenate([[0], np.cumsum(~solid)])
+    wide = points.astype(np.uint64)
     for n in GRAMS:
-        h = np.zeros(len(raw) - n + 1, np.uint64)
+        size = len(points) - n + 1
+        if size <= 0:
+            continue
+        # Only the ends of an n-gram may be spaces: they mark a word's beginning and end.
+        at = np.flatnonzero(spaces[n - 1 : n - 1 + size] == spaces[1 : 1 + size])
+        h = np.zeros(len(at), np.uint64)
         for k in range(n):
-            h |= raw[k : len(raw) - n + 1 + k].astype(np.uint64) << np.uint64(8 * k)
-        # An n-gram belongs to the piece of its second byte, which is no space.
-        at = np.flatnonzero(solid[1 : len(raw) - n + 2])
-        at = at[at + 1 >= first]
-        found.append(_bucket(h[at], n))
+            h = h * np.uint64(0x100000001B3) + wide[at + k]
+        found.append(_bucket(h, n))
         of.append(piece[at + 1 - first])
     edges = np.diff(solid.astype(np.int8))
     begin, end = np.flatnonzero(edges == 1) + 1, np.flatnonzero(edges == -1) + 1
     if len(begin):
         lens = end - begin
-        place = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
-        words = np.add.reduceat(_BYTES[raw[solid]] * _PLACES[place & 63], np.cumsum(lens) - lens)
+        heads = np.cumsum(lens) - lens
+        place = np.arange(int(lens.sum())) - np.repeat(heads, lens)
+        powers = np.cumprod(np.full(int(lens.max()), _STEP | np.uint64(1), np.uint64))
+        words = _mixed(np.add.reduceat(_mixed(wide[solid] + np.uint64(1)) * powers[place], heads))
         own = piece[begin - first]
         found.append(_bucket(words, 101))
         of.append(own)
         near = own[1:] == own[:-1]
-        pair = np.where(words[1:] == words[:-1], np.uint64(0), words[:-1] * np.uint64(3) + words[1:])
-        found.append(_bucket(pair[near], 103))
+        pairs = np.where(words[1:] == words[:-1], np.uint64(0), words[:-1] * np.uint64(3) + words[1:])
+        found.append(_bucket(pairs[near], 103))
         of.append(own[1:][near])
     return np.concatenate(found), np.concatenate(of)
 
@@ -82,15 +92,16 @@ def train(rows: Sequence[tuple[str, object]], epochs: int = EPOCHS, rate: float
     rng = np.random.default_rng(seed)
     bags = []
     for text, y in rows:
-        for raw, starts, _ in byte_blocks(pa.array([text]), PAD):
-            ids, _ = features(raw, starts)
+        for points, starts, _ in text_blocks(pa.array([text])):
+            ids, _ = features(points, starts)
             if len(ids):
                 own, n = np.unique(ids, return_counts=True)
                 bags.append((own, (n / len(ids)).astype(np.float32), int(y)))
     vectors = ((rng.random((BUCKETS, DIMENSIONS), np.float32) - 0.5) / DIMENSIONS).astype(np.float32)
-    out, bias = np.zeros((DIMENSIONS, 2), np.float32), np.array([0.0, prior], np.float32)
+    out = ((rng.random((DIMENSIONS, 2), np.float32) - 0.5) / DIMENSIONS).astype(np.float32)
+    bias = np.array([0.0, prior], np.float32)
     for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
+        step = np.float32(rate * (1 - epoch / epochs))
         for i in rng.permutation(len(bags)):
             own, share, y = bags[i]
             mean = share @ vectors[own]
@@ -98,19 +109,19 @@ def train(rows: Sequence[tuple[str, object]], epochs: int = EPOCHS, rate: float
             p = np.exp(z - z.max())
             p /= p.sum()
             p[y] -= 1
+            # The gradient of the loss by the vectors is each one's share of the mean's.
             back = out @ p
-            out -= step * np.outer(mean, p)
-            bias -= np.float32(0.1 * step) * p
-            # As in hashed bags of words, each vector moves by its share, scaled up so that rare features learn.
-            vectors[own] -= (step * 8) * np.minimum(share * 16, 1)[:, None] * back[None, :]
+            out -= SLOW * step * np.outer(mean, p)
+            bias -= SLOW * step * p
+            vectors[own] -= step * share[:, None] * back[None, :]
     return (vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
 def score_texts(texts: pa.Array, numbers: np.ndarray, bias: float) -> np.ndarray:
     """The probability of label 1 of each text; of a text without features, that of the bias alone."""
     total, count = np.zeros(len(texts)), np.zeros(len(texts))
-    for raw, starts, owners in byte_blocks(texts, PAD):
-        ids, piece = features(raw, starts)
+    for points, starts, owners in text_blocks(texts):
+        ids, piece = features(points, starts)
         total += np.bincount(owners[piece], numbers[ids], len(texts))
         count += np.bincount(owners[piece], minlength=len(texts))
     with np.errstate(over="ignore"):
@@ -133,6 +144,6 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), FOLDS) != 0)
-    numbers, bias = train(sample(labels, docs, "quality", most=SAMPLE_ROWS, most_bytes=SAMPLE_BYTES))
+    numbers, bias = train(sample(labels, docs, "quality", most=SAMPLE_ROWS, most_chars=SAMPLE_CHARS))
     found = quality_scores(docs, numbers, bias)
     return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "score", F.when(F.col("score") >= CUT, 1).otherwise(0).alias("predicted"))

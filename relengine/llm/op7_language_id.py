@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relengine.llm.common import slices, table
-from relengine.llm.labelled import SAMPLE_BYTES, SAMPLE_ROWS, fold, sample
+from relengine.llm.labelled import SAMPLE_CHARS, SAMPLE_ROWS, fold, sample
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
-EPOCHS, RATE, BATCH, WINDOWS_A_ROW = 10, 0.1, 32, 3
+EPOCHS, RATE, BATCH = 10, 0.1, 32
+#: Windows of a labelled row that are learned from at most, chosen at random from all over it.
+WINDOWS_A_ROW = 8
 #: Windows that are looked at together.
 GROUP = 512
 #: Rows of which crc32(key) mod FOLDS is HELD_OUT are never learned from.
@@ -154,7 +156,7 @@ def languages(docs: DataFrame, network: Network | None, text: str = "text", key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         looked_up = network.pairs() if network else []
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text):
             named, score = identify(batch.column(text), network, looked_up)
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(named, pa.string()), pa.array(score, pa.float64())], names=[key, "lang_pred", "score"])
 
@@ -165,6 +167,6 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     labelled = docs.filter(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    network = train(sample(labelled, docs, "lang", most=SAMPLE_ROWS, most_bytes=SAMPLE_BYTES))
+    network = train(sample(labelled, docs, "lang", most=SAMPLE_ROWS, most_chars=SAMPLE_CHARS))
     found = languages(docs, network)
     return found.select("doc_id", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")

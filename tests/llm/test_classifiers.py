@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from relengine.llm import op4_quality_classifier as quality
 from relengine.llm import op7_language_id as language
-from relengine.llm.labelled import byte_blocks, sample
+from relengine.llm.labelled import sample, spread_parts, text_blocks
 
 
 def texts(seed, n):
@@ -37,10 +37,47 @@ def test_scores_depend_on_the_text_alone():
 
 
 def test_blocks():
-    long_ = " ".join(["word"] * 1000)
-    got = list(byte_blocks(pa.array([long_, None, "", "tail"]), 4, most=512))
-    assert sum(int((raw != 32).sum()) for raw, *_ in got) == 4004
+    long_ = " ".join(["wörd"] * 1000)
+    got = list(text_blocks(pa.array([long_, None, "", "tail\t."]), most=512))
+    assert sum(int((points != 32).sum()) for points, *_ in got) == 4005 and len(got) >= 5
     assert {int(o) for *_, owners in got for o in owners} == {0, 3}
+    assert list(text_blocks(pa.array([None, ""], pa.string()))) == []
+
+
+def test_features():
+    """Words, pairs of words and the n-grams of each word with its two marks, and nothing across words or texts."""
+
+    def found(*texts):
+        ((points, starts, _),) = text_blocks(pa.array(texts))
+        ids, piece = quality.features(points, starts)
+        return [sorted(ids[piece == i].tolist()) for i in range(len(texts))]
+
+    # "<é>" has one n-gram of 3; "<abc>" three of 3, two of 4, one of 5.
+    assert [len(x) for x in found("é", "abc", "é abc", "abc abc")] == [1 + 1, 6 + 1, 2 + 7 + 1, 14 + 1]
+    alone, joined = found("é", "abc"), found("é abc")
+    assert set(alone[0]) | set(alone[1]) < set(joined[0]) and found("abc", "é") == alone[::-1]
+    repeated = set(found("xy xy")[0]) & set(found("abc abc")[0])
+    assert len(repeated) == 1
+
+
+def test_gradient():
+    """One step moves each vector against the gradient of the loss: along its share of the document."""
+    rows = [("aa bb aa", 1), ("cc dd", 0)]
+    quiet = [quality.score_texts(pa.array([t]), *quality.train(rows, epochs=1, rate=r))[0] for t in ("aa bb aa",) for r in (0.0, 1.0, 10.0)]
+    assert quiet[0] < quiet[1] < quiet[2]
+
+
+def test_long_texts_are_learned_from(spark):
+    """No labelled row is left out for its length, and labels without a document take no place in the sample."""
+    long_ = " ".join(f"w{i}" for i in range(30_000))
+    docs = spark.createDataFrame([(i, long_ if i % 2 else f"short {i}") for i in range(20)] + [(50, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(i, 1) for i in range(50, 400)], "doc_id long, quality int")
+    got = sample(labels, docs, "quality", most=20)
+    assert len(got) == 20 and sum(y for _, y in got) == 10
+    for text, y in got:
+        assert len(text) <= (32 << 10) + 8 and (not y or ("w0 " in text and "w29999" in text and "w15" in text))
+    (r,) = spark.createDataFrame([("abcdefghij" * 10,)], "t string").select(spread_parts(__import__("pyspark").sql.functions.col("t"), 16, 8).alias("p")).collect()
+    assert len(r.p.split(" ")) == 8 and all(len(x) == 2 for x in r.p.split(" "))
 
 
 def test_language():
