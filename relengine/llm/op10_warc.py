@@ -129,8 +129,12 @@ def write_warc(pages: DataFrame, to: str, payload: str = "html", key: str = "pag
 
     A null payload counts as empty, a missing or null url as an empty one, a null key is the
     smallest of all. Of equal payloads the row of the largest key is the response; of repeated rows
-    of that key, the first is. Other columns are not written.
+    of that key, the first is. Other columns are not written. A folder that holds a manifest is an
+    error: a finished archive is never written over. What a run without a manifest left goes.
     """
+    fs, folder = files_at(to)
+    if fs.get_file_info(f"{folder}/{MANIFEST}").type == pafs.FileType.File:
+        raise FileExistsError(f"{to} holds a finished archive")
     n = shards or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     raw = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
@@ -192,6 +196,10 @@ def commit(to: str, manifest: list[dict]) -> None:
     """Renames the files that the manifest names, deletes those of lost attempts, then publishes the manifest."""
     fs, folder = files_at(to)
     fs.create_dir(folder, recursive=True)
+    named = {row["file"] for row in manifest}
+    for info in fs.get_file_info(pafs.FileSelector(folder)):
+        if info.type == pafs.FileType.File and info.base_name.startswith("part-") and info.base_name not in named:
+            fs.delete_file(info.path)
     for row in manifest:
         fs.move(f"{folder}/_temporary/{row.pop('temporary')}", f"{folder}/{row['file']}")
     if fs.get_file_info(f"{folder}/_temporary").type == pafs.FileType.Directory:

@@ -36,7 +36,7 @@ from relengine.llm.pieces import LONG, PieceTable, chunks, spread
 from relengine.llm.vocabulary import Vocabulary, default_path, vocabulary
 
 #: Pairs of tokens of which a worker remembers whether they are compatible; the table starts anew beyond that.
-PAIRS = 1 << 18
+PAIRS = 1 << 19
 #: Bytes of text that go to ids and back at once. Each byte takes some 30 bytes of working memory on the way.
 STEP_BYTES = 1 << 20
 
@@ -137,6 +137,7 @@ class Coder:
         self.engine = Backtracking(v)
         self.pre = regex.compile(public_tokenizers.PATTERN)
         self.special = regex.compile("(" + "|".join(map(regex.escape, v.special)) + ")") if v.special else None
+        self.letters = not any(map(str.isalpha, v.special))
         self.table = PieceTable(self._encode_pieces)
         self.blob, self.ends = v.offsets
         tens = [b"%d," % i for i in range(len(self.ends) - 1)]
@@ -147,7 +148,9 @@ class Coder:
         ends = [0]
         special, encode, pre = self.vocabulary.special, self.engine.encode, self.pre.findall
         for piece in pieces:
-            if self.special and any(x in piece for x in special):
+            if self.letters and (piece[1:] if piece[:1] == " " else piece).isalpha():
+                ids += encode(piece.encode())  # letters behind a space or none are one pre-token
+            elif self.special and any(x in piece for x in special):
                 for part in self.special.split(piece):
                     if part in special:
                         ids.append(special[part])

@@ -1,42 +1,57 @@
 """Token counts by batch encoding in Arrow functions.
 
-Workers get Arrow batches, cut them into slices of about the same number of bytes, split texts at
-safe boundaries (see pieces.py) and send back lengths only, never ids.
+Workers put the rows of Arrow batches into batches of about BATCH_BYTES bytes, split long texts at
+safe boundaries (see pieces.py), give a batch of parts to the library's batch encoder at a time, and
+send back lengths only, never ids.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import os
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from relengine.llm.common import slices, table
+from relengine.llm.common import balanced, table
 from relengine.llm.pieces import chunks
 from relengine.llm.vocabulary import default_path, vocabulary
 
 #: Documents of more tokens than this are over the limit.
 LIMIT = 512
+#: Bytes of text that are encoded as one batch, and characters of a part of a longer text. The library takes some 100 bytes for a token while a batch is encoded.
+BATCH_BYTES, PART = 1 << 20, 64 << 10
 
 
 @lru_cache(maxsize=2)
-def _counter(path: str) -> Callable[[str], int]:
-    """The number of tokens of a text. The vocabulary's ids follow the order of its merges (checked on loading), so byte-pair ranks give the same tokens."""
-    import public_tokenizers
-    import tiktoken
-
-    v = vocabulary(path)
-    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=v.ranks, special_tokens=v.special)
-    special = list(v.special)
-
-    def count(text: str) -> int:
-        if any(s in text for s in special):
-            return sum(len(own.encode(x, allowed_special="all")) for x in chunks(text))
-        return sum(len(own.encode_ordinary(x)) for x in chunks(text))
+def _counter(path: str) -> Callable[[Sequence[str]], list[int]]:
+    """The number of tokens of each of some texts, as the tokenizers library gives it; a worker is one thread, as a task has one core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    vocabulary(path)  # raises if texts can't be cut safely with this file
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+
+    def count(texts: Sequence[str]) -> list[int]:
+        parts = [chunks(x, PART) for x in texts]
+        flat = [x for own in parts for x in own]
+        lens, at = [0], 0
+        while at < len(flat):  # one text may be far longer than a batch
+            upto, size = at, 0
+            while upto < len(flat) and size < BATCH_BYTES:
+                size += len(flat[upto]) + 1
+                upto += 1
+            lens += map(len, library.encode_batch_fast(flat[at:upto], add_special_tokens=False))
+            at = upto
+        ends = np.cumsum([len(own) for own in parts])
+        return np.diff(np.cumsum(lens)[ends], prepend=0).tolist()
 
     return count
 
@@ -56,11 +71,10 @@ def count_tokens(docs: DataFrame, text: str = "text", path: str | None = None, k
     schema = StructType([*(docs.schema[c] for c in kept), StructField("n_bytes", LongType()), StructField("n_tokens", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = _counter(path)
-        for batch in slices(batches, text):
+        for batch in balanced(batches, text, BATCH_BYTES):
             texts = pc.fill_null(batch.column(text).cast(pa.string()), "")
             n_bytes = pc.binary_length(texts).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), n_bytes, pa.array(map(count, texts.to_pylist()), pa.int64())], names=[*kept, "n_bytes", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), n_bytes, pa.array(_counter(path)(texts.to_pylist()), pa.int64())], names=[*kept, "n_bytes", "n_tokens"])
 
     return docs.mapInArrow(run, schema)
 

@@ -23,7 +23,7 @@ CUT = re.compile(r"(?= \S)")
 #: Longer texts are cut at a safe place first, so that no step holds more than this many characters in pieces.
 LONG = 1 << 18
 #: Pieces and characters in pieces that a table holds before it starts anew, beyond what one slice of texts needs.
-PIECES, PIECE_CHARS = 250_000, 16 << 20
+PIECES, PIECE_CHARS = 400_000, 16 << 20
 
 
 def chunks(text: str, most: int = LONG) -> list[str]:

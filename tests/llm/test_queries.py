@@ -1,0 +1,178 @@
+"""Each query opN_ over whole tables: contract columns against brute force, held-out quality against floors."""
+
+import hashlib
+import os
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+
+from relengine.llm.op2_mix import SHORT
+from relengine.llm.op4_quality_classifier import op4_quality_classifier
+from relengine.llm.registry import QUERIES
+from relengine.llm.vocabulary import default_path
+
+from .test_dedup import plain_components, plain_groups
+from .test_mix_and_rules import SPLIT, plain_rules, plain_targets
+
+TABLES = os.environ.get("TEST_TABLES", "/root/testdata")
+SMALL, MIDDLE = f"{TABLES}/sf0.001", f"{TABLES}/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.exists(f"{MIDDLE}/documents.parquet"), reason="the tables are not here")
+
+
+def read(folder, name):
+    return pq.read_table(f"{folder}/{name}.parquet").to_pylist()
+
+
+def run(spark, name, folder):
+    (query,) = (f for n, f in QUERIES.items() if n.startswith(f"op{name}_"))
+    return query(spark, folder).collect()
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in read(SMALL, "documents")]
+
+
+@pytest.fixture(scope="module")
+def ids(docs):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_path())
+    return {d: (library.encode(t or "", add_special_tokens=False).ids, library) for d, t, *_ in docs}
+
+
+def crc(key):
+    return zlib.crc32(str(key).encode())
+
+
+def test_op1(spark, docs, ids):
+    got, start = {r.doc_id: r for r in run(spark, 1, SMALL)}, 0
+    for d in sorted(ids):
+        own = [*ids[d][0], 0]
+        assert (got[d].start, got[d].n_tokens, got[d].ids_crc32) == (start, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+        start += len(own)
+    assert len(got) == len(docs)
+
+
+def test_op2(spark, docs):
+    got = run(spark, 2, SMALL)
+    size = {d: len(re.findall(SPLIT, t or "")) for d, t, *_ in docs}
+    sums, taken, largest = Counter(), Counter(), Counter()
+    for d, _, _, s in docs:
+        sums[s] += size[d]
+        largest[s] = max(largest[s], size[d])
+    want, source = plain_targets(dict(sums)), {d: s for d, _, _, s in docs}
+    for r in got:
+        s = source[r.doc_id]
+        assert r["size"] == size[r.doc_id] and r.source_size == sums[s] and abs(r.target - want[s]) < 1e-6 * want[s] + 1e-9
+        assert 0 <= r.taken <= 3 * r["size"] and (not r["size"] or r.taken % r["size"] == 0)
+        taken[s] += r.taken
+    assert len(got) == len(docs) and all(want[s] - largest[s] <= taken[s] <= want[s] + 1e-6 for s in sums)
+    assert {(r.doc_id, r.taken) for r in run(spark, 2, SMALL)} == {(r.doc_id, r.taken) for r in got}
+
+
+def test_op2_unequal_probabilities(spark):
+    """On more documents: copies for a word follow the preference, whatever the length within it."""
+    got = run(spark, 2, MIDDLE)
+    by = {}
+    for r in got:
+        if r["size"]:
+            rate = r.target / r.source_size
+            by.setdefault((r["size"] < SHORT, r["size"] >= 500), []).append((r.copies, rate))
+    short, long_ = ((lambda x: sum(c for c, _ in x) / sum(e for _, e in x))([p for k, v in by.items() if k[0] is is_short for p in v]) for is_short in (True, False))
+    assert 0.4 < short / long_ < 0.75 and 0.9 < long_ < 1.1
+
+
+def test_op3(spark, docs):
+    keep = plain_groups(docs)
+    for r in run(spark, 3, SMALL):
+        text = re.sub(r"[\x20\x09-\x0D]+", " ", next(t for d, t, *_ in docs if d == r.doc_id) or "")
+        assert (r.keep_id, r.group_size, r.kept) == tuple(keep[r.doc_id]) and r.text_sha256 == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_op4(spark):
+    labels = {r["doc_id"]: r["quality"] for r in read(MIDDLE, "labels")}
+    got = run(spark, 4, MIDDLE)
+    assert len(got) == len(read(MIDDLE, "documents"))
+    for r in got:
+        assert r.held_out == (crc(r.doc_id) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    held = [(r.score, labels[r.doc_id]) for r in got if r.held_out and labels.get(r.doc_id) is not None]
+    good, bad = ([s for s, y in held if y == k] for k in (1, 0))
+    auc = np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad])
+    assert len(held) > 50 and auc >= 0.97 and np.mean([(s >= 0.3) == y for s, y in held]) >= 0.97
+
+
+def test_op4_learns_nothing_of_held_out_rows(spark, tmp_path):
+    """Labels of held-out rows may say anything: scores stay the same."""
+    import pyarrow as pa
+
+    for name in ("documents", "labels"):
+        t = pq.read_table(f"{SMALL}/{name}.parquet")
+        if name == "labels":
+            wrong = [1 - q if q is not None and crc(d) % 5 == 0 else q for d, q in zip(t["doc_id"].to_pylist(), t["quality"].to_pylist(), strict=True)]
+            t = t.set_column(t.schema.get_field_index("quality"), "quality", pa.array(wrong, t["quality"].type))
+        pq.write_table(t, tmp_path / f"{name}.parquet")
+    assert {(r.doc_id, r.score) for r in op4_quality_classifier(spark, str(tmp_path)).collect()} == {(r.doc_id, r.score) for r in run(spark, 4, SMALL)}
+
+
+def test_op5(spark):
+    """Counts against a plain version, and the verdict against labels: clean documents stay, those labelled bad mostly go."""
+    text = {r["doc_id"]: r["text"] for r in read(MIDDLE, "documents")}
+    labels = {r["doc_id"]: r["quality"] for r in read(MIDDLE, "labels")}
+    got = run(spark, 5, MIDDLE)
+    assert len(got) == len(text)
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_rules(text[r.doc_id])
+        assert not (r.base_failed and r.kept)
+    kept = {k: np.mean([r.kept for r in got if labels.get(r.doc_id) == k and not r.base_failed]) for k in (0, 1)}
+    assert kept[1] >= 0.99 and kept[0] <= 0.1
+
+
+def test_op6(spark, docs, ids):
+    got = {r.doc_id: r for r in run(spark, 6, SMALL)}
+    assert len(got) == len(docs)
+    for d, (own, library) in ids.items():
+        decoded = library.decode(own, skip_special_tokens=False)
+        assert (got[d].n_tokens, got[d].ids_sha256, got[d].decoded_sha256) == (len(own), hashlib.sha256(",".join(map(str, own)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+
+
+def test_op7(spark):
+    lang = {r["doc_id"]: (r["lang"], r["text"]) for r in read(MIDDLE, "documents")}
+    got = run(spark, 7, MIDDLE)
+    assert len(got) == len(lang)
+    learned = {v for d, (v, t) in lang.items() if v is not None and t is not None and crc(d) % 4 != 2}
+    for r in got:
+        assert r.held_out == (crc(r.doc_id) % 4 == 2) and 0 <= r.score <= 1 and r.lang_pred in learned | {"und"}
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in lang[r.doc_id][1] or ""))
+    held = [(r.lang_pred, lang[r.doc_id][0]) for r in got if r.held_out and lang[r.doc_id][0] is not None and r.lang_pred != "und"]
+    assert len(held) > 100 and np.mean([a == b for a, b in held]) >= 0.97
+
+
+def test_op8(spark, docs, ids):
+    got = {r.doc_id: r for r in run(spark, 8, SMALL)}
+    assert len(got) == len(docs) and any(r.over_limit for r in got.values()) and not all(r.over_limit for r in got.values())
+    for d, t, *_ in docs:
+        n = len(ids[d][0])
+        assert (got[d].n_bytes, got[d].n_tokens, got[d].over_limit) == (len((t or "").encode()), n, n > 512)
+
+
+def test_op9(spark, docs):
+    want = plain_components(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in run(spark, 9, SMALL)} == want
+
+
+def test_op10(spark):
+    pages = {r["page_id"]: (r["html"] or "").encode() for r in read(SMALL, "pages")}
+    last = {}
+    for k, raw in pages.items():
+        last[raw] = max(k, last.get(raw, k))
+    got = run(spark, 10, SMALL)
+    assert len(got) == len(pages)
+    for r in got:
+        raw = pages[r.page_id]
+        again = len(raw) >= 1000 and last[raw] != r.page_id
+        assert (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) == (len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last[raw] if again else None)
