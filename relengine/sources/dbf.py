@@ -14,7 +14,9 @@ a record is deleted, and called back, by a rewrite that changes one column.
 
 Writing. Each task writes its records to a file of its own beside the target; the driver writes the
 header when all are known, appends the parts and renames the result over the target, because the
-format wants one file. Lost or repeated tasks leave parts that no commit message names. Values
+format wants one file. With the option files=many the target is a folder of dBase files, one of
+each task, which makes it whole; the driver only moves them, new ones before old ones go. A folder
+is read as one table. Lost or repeated tasks leave parts that no commit message names. Values
 become text by columns, in Arrow and numpy, not one by one.
 """
 
@@ -87,8 +89,21 @@ class Header:
         return out + b"\x0d"
 
 
-def read_header(url: str) -> Header:
+def files_of(url: str) -> list[str]:
+    """The paths of the dBase files of a folder, or that of the file itself."""
     fs, path = _open(url)
+    if fs.get_file_info(path).type != pafs.FileType.Directory:
+        return [path]
+    found = sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path)) if x.type == pafs.FileType.File and x.path.lower().endswith(".dbf"))
+    if not found:
+        raise SqlError(f"{url} holds no dBase file")
+    return found
+
+
+def read_header(url: str, path: str | None = None) -> Header:
+    """The header of a file; of a folder that of its first file."""
+    fs, _ = _open(url)
+    path = path or files_of(url)[0]
     with fs.open_input_stream(path, compression=None) as f:
         raw = f.read(32)
         if len(raw) == 32:
@@ -98,6 +113,8 @@ def read_header(url: str) -> Header:
 
 @dataclass
 class Records(InputPartition):
+    path: str
+    header_size: int
     start: int
     count: int
 
@@ -146,21 +163,28 @@ class DbfReader(DataSourceReader):
         self.path, self.header, self.split, self.encoding, self.deleted = path, header, split, encoding, deleted
 
     def partitions(self) -> Sequence[InputPartition]:
-        n = self.header.records
-        return [Records(i, min(self.split, n - i)) for i in range(0, n, self.split)] or [Records(0, 0)]
+        out = []
+        for path in files_of(self.path):
+            own = read_header(self.path, path)
+            if own.fields != self.header.fields:
+                raise SqlError(f"{path} has other fields than the first file")
+            out += [Records(path, own.header_size, i, min(self.split, own.records - i)) for i in range(0, own.records, self.split)]
+        return out or [Records("", 0, 0, 0)]
 
     def read(self, partition: Records) -> Iterator[pa.RecordBatch]:
-        fs, path = _open(self.path)
+        if not partition.count:
+            return
+        fs, _ = _open(self.path)
         size = self.header.record_size
         names = [f.name for f in self.header.fields]
-        with fs.open_input_file(path) as f:
-            f.seek(self.header.header_size + partition.start * size)
+        with fs.open_input_file(partition.path) as f:
+            f.seek(partition.header_size + partition.start * size)
             left = partition.count
             while left:
                 raw = f.read(min(left, BATCH) * size)
                 got = len(raw) // size
                 if not got:
-                    raise SqlError(f"{self.path} ends before its last record")
+                    raise SqlError(f"{partition.path} ends before its last record")
                 left -= got
                 block = np.frombuffer(raw[: got * size], np.uint8).reshape(got, size)
                 gone = block[:, 0] == ord("*")
@@ -222,10 +246,13 @@ class Part(WriterCommitMessage):
 
 
 class DbfWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, fields: list[Field], overwrite: bool, encoding: str):
-        self.path, self.fields, self.overwrite, self.encoding = path, fields, overwrite, encoding
+    def __init__(self, path: str, fields: list[Field], overwrite: bool, encoding: str, many: bool):
+        self.path, self.fields, self.overwrite, self.encoding, self.many = path, fields, overwrite, encoding, many
         self.run = uuid.uuid4().hex
 
+    def _header(self, records: int) -> Header:
+        return Header(self.fields, records, 33 + 32 * len(self.fields), 1 + sum(f.length for f in self.fields))
+
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, path = _open(self.path)
         folder = f"{path}.{self.run}"
@@ -235,32 +262,52 @@ class DbfWriter(DataSourceArrowWriter):
             for batch in iterator:
                 out.write(encode(batch, self.fields, self.encoding))
                 n += batch.num_rows
+        if self.many:
+            self._whole(fs, f"{name}.dbf", self._header(n), [Part(name, n)])
+            name = f"{name}.dbf"
         return Part(name, n)
 
-    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        fs, path = _open(self.path)
-        parts = [m for m in messages if m is not None and m.records]
-        before = None
-        if not self.overwrite and fs.get_file_info(path).type == pafs.FileType.File:
-            before = read_header(self.path)
-            if before.fields != self.fields:
-                raise SqlError("the rows have other fields than the file")
-        total = sum(m.records for m in parts) + (before.records if before else 0)
-        header = Header(self.fields, total, 33 + 32 * len(self.fields), 1 + sum(f.length for f in self.fields))
-        temporary = f"{path}.{self.run}.new"
-        with fs.open_output_stream(temporary, compression=None) as out:
+    def _whole(self, fs: pafs.FileSystem, to: str, header: Header, parts: list[Part], before: tuple[str, Header] | None = None) -> None:
+        """A file of a header, the records of another file, if there is one, and those of parts."""
+        with fs.open_output_stream(to, compression=None) as out:
             out.write(header.dump(date.today()))
             if before:
-                with fs.open_input_file(path) as f:
-                    f.seek(before.header_size)
-                    _copy(f, out, before.records * before.record_size)
+                with fs.open_input_file(before[0]) as f:
+                    f.seek(before[1].header_size)
+                    _copy(f, out, before[1].records * before[1].record_size)
             for m in parts:
                 with fs.open_input_file(m.name) as f:
                     _copy(f, out, m.records * header.record_size)
             out.write(b"\x1a")
-        fs.move(temporary, path)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, path = _open(self.path)
+        parts = [m for m in messages if m is not None and m.records]
+        kind = fs.get_file_info(path).type
+        if not self.overwrite and kind != pafs.FileType.NotFound and read_header(self.path).fields != self.fields:
+            raise SqlError("the rows have other fields than the file")
+        if self.many:
+            self._commit_folder(fs, path, kind, parts)
+        else:
+            before = None if self.overwrite or kind != pafs.FileType.File else (path, read_header(self.path))
+            temporary = f"{path}.{self.run}.new"
+            self._whole(fs, temporary, self._header(sum(m.records for m in parts) + (before[1].records if before else 0)), parts, before)
+            fs.move(temporary, path)
         self._clean()
 
+    def _commit_folder(self, fs: pafs.FileSystem, path: str, kind: pafs.FileType, parts: list[Part]) -> None:
+        if kind == pafs.FileType.File:
+            raise SqlError(f"{self.path} is a file, not a folder")
+        old = files_of(self.path) if self.overwrite and kind == pafs.FileType.Directory and any(x.path.lower().endswith(".dbf") for x in fs.get_file_info(pafs.FileSelector(path))) else []
+        fs.create_dir(path, recursive=True)
+        if not parts:  # the fields of no rows are known, too
+            parts = [Part(f"{path}.{self.run}.empty", 0)]
+            self._whole(fs, parts[0].name, self._header(0), [])
+        for i, m in enumerate(parts):
+            fs.move(m.name, f"{path}/part-{self.run}-{i:06d}.dbf")
+        for name in old:
+            fs.delete_file(name)
+
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._clean()
 
@@ -280,7 +327,7 @@ def _copy(source, to, count: int) -> None:
 
 
 class DbfSource(DataSource):
-    """Options: path; split (records of a partition); encoding of texts (ascii); deleted (include). Fields of written columns follow their metadata, or their type."""
+    """Options: path; split (records of a partition); encoding of texts (ascii); deleted (include); files (many). Fields of written columns follow their metadata, or their type."""
 
     @classmethod
     def name(cls) -> str:
@@ -303,4 +350,4 @@ class DbfSource(DataSource):
         for f in fields:
             if len(f.name) > 10:
                 raise SqlError(f"{f.name}: names in dBase files have at most 10 letters; rename the column")
-        return DbfWriter(self.options["path"], fields, overwrite, self.options.get("encoding", "ascii"))
+        return DbfWriter(self.options["path"], fields, overwrite, self.options.get("encoding", "ascii"), self.options.get("files", "").lower() == "many")
