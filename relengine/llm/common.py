@@ -17,6 +17,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
 
+#: A key is hot if more than one of HOT_SHARE of all rows have it, and more than HOT_ROWS: there are less than HOT_SHARE of them.
+HOT_SHARE, HOT_ROWS = 10_000, 1_000
+
 _scratch: dict[str, tuple[SparkSession, str]] = {}
 
 
@@ -86,6 +89,19 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def join_by_size(rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows with the columns of facts, which has each key once and in `size` how many of the rows have it.
+
+    What is known of hot keys, less than HOT_SHARE rows, is sent to all tasks, so their rows stay
+    where they are; of the keys that go through a shuffle none is large.
+    """
+    limit = max(total // HOT_SHARE, HOT_ROWS)
+    hot, others = facts.filter(F.col(size) > limit), facts.filter(F.col(size) <= limit)
+    few = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(others, on)
+    return few.unionByName(rest)
+
+
 def words(text: Column) -> Column:
     """The words of a text, as the contracts split it; an empty array for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

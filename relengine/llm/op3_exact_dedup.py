@@ -10,8 +10,9 @@ exactly if all bytes are.
 What moves. The text of a block is shuffled once, and once only for all its copies in a partition,
 to be sorted. Names go back to documents by a 64-bit fingerprint of the block, which never decides
 anything: if several blocks share a fingerprint, their names are joined by the blocks themselves.
-Groups are counted by partial aggregation, so that a hot group costs one row for each partition;
-the join that tells each document its group can be split by Spark where it is skewed.
+Groups are counted by partial aggregation, so that a hot group costs one row for each partition.
+Names and groups go back to documents by joins in which hot keys (a share of all rows that only a
+bounded number of keys can have) are sent to all tasks and do not move a row.
 
 Names are places in sorted partitions: (number of the partition, row in it). Both are the same
 when a lost task is run again, and they are read from a table that is written once.
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relengine.llm.common import SPACE, durable, table
+from relengine.llm.common import SPACE, durable, join_by_size, table
 
 #: Bytes of a block.
 BLOCK = 16 << 10
@@ -40,8 +41,9 @@ def _blocks(raw: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(raw, i * size + 1, F.lit(size)))
 
 
-def _named(distinct: DataFrame, *by: str) -> DataFrame:
-    """Distinct rows with their names."""
+def _named(rows: DataFrame, *by: str) -> DataFrame:
+    """The distinct rows with their names, which follow the order of these columns, and in `copies` how many rows there were of each."""
+    distinct = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("copies"))
     return distinct.sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id())
 
 
@@ -58,7 +60,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block
     fp = lambda x: fingerprint(x).cast("long")
     base = docs.select(F.col(key).alias("_key"), raw.alias("raw"))
     pieces = base.select(F.explode(_blocks(F.col("raw"), block)).alias("block")).select(fp(F.col("block")).alias("fp"), "block")
-    names = durable(_named(pieces.distinct(), "block").select("fp", "name"), "op3-blocks")
+    names = durable(_named(pieces, "block").select("fp", "name", "copies"), "op3-blocks")
     clash = names.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select("fp")
     base = base.select(F.monotonically_increasing_id().alias("_row"), "*")
     clear = clash.isEmpty()
@@ -67,8 +69,9 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block
     sequence = F.transform(_blocks(F.col("raw"), block), fp).alias("fps")
     known = durable(base.select("_row", "_key", F.octet_length("raw").alias("n_bytes"), F.sha2("raw", 256).alias("text_sha256"), sequence), "op3-documents")
     found = known.select("_row", F.posexplode("fps").alias("pos", "fp"))
-    level = found.join(names, "fp").select("_row", "pos", "name") if clear else _names_of_clashes(base, found, names, clash, block, fp)
-    longest = known.agg(F.max(F.size("fps"))).first()[0] or 1
+    facts = known.agg(F.max(F.size("fps")), F.sum(F.size("fps")), F.count(F.lit(1))).first()
+    longest, total, n_rows = facts[0] or 1, facts[1] or 0, facts[2]
+    level = join_by_size(found, names, ["fp"], "copies", total).select("_row", "pos", "name") if clear else _names_of_clashes(base, found, names, clash, block, fp)
     single = level.join(known.filter(F.size("fps") == 1).select("_row"), "_row", "left_semi") if longest > 1 else level
     done = [single.select("_row", "name")]
     if longest > 1:
@@ -79,8 +82,8 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block
                 F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(NONE)).alias("b"),
             )
             pairs = durable(pairs, "op3-pairs")
-            fresh = durable(_named(pairs.select("a", "b").distinct(), "a", "b"), "op3-names")
-            several = pairs.join(fresh, ["a", "b"]).select("_row", "pos", "name")
+            fresh = durable(_named(pairs.select("a", "b"), "a", "b"), "op3-names")
+            several = join_by_size(pairs, fresh, ["a", "b"], "copies", total).select("_row", "pos", "name")
             longest = (longest + 1) // 2
         done.append(several.select("_row", "name"))
     one = known.select("_row", "_key", "n_bytes", "text_sha256").join(done[0] if len(done) == 1 else done[0].union(done[1]), "_row")
@@ -88,7 +91,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", block
     # One place for the key's type and order: nulls last, then the key, then the row.
     place = F.struct(F.col("_key").isNull().alias("no"), F.col("_key").alias("key"), F.col("_row").alias("row"))
     groups = one.groupBy("n_bytes", "name").agg(F.min(place).alias("keep"), F.count("*").alias("group_size"))
-    return one.join(groups, ["n_bytes", "name"]).select(
+    return join_by_size(one, durable(groups, "op3-sizes"), ["n_bytes", "name"], "group_size", n_rows).select(
         F.col("_key").alias(key),
         F.col("keep.key").alias("keep_id"),
         "group_size",
@@ -104,7 +107,7 @@ def _names_of_clashes(base: DataFrame, found: DataFrame, names: DataFrame, clash
     plain = found.join(names.join(clash, "fp", "left_anti"), "fp").select("_row", "pos", "name")
     whole = base.select("_row", F.posexplode(_blocks(F.col("raw"), block)).alias("pos", "block"))
     whole = durable(whole.withColumn("fp", fp(F.col("block"))).join(clash, "fp", "left_semi"), "op3-whole")
-    own = durable(_named(whole.select("block").distinct(), "block").select("block", (-1 - F.col("name")).alias("name")), "op3-whole-names")
+    own = durable(_named(whole.select("block"), "block").select("block", (-1 - F.col("name")).alias("name")), "op3-whole-names")
     return plain.union(whole.join(own, "block").select("_row", "pos", "name"))
 
 

@@ -437,7 +437,6 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     others, so a component's id is null only if it has no other key. Other columns don't matter.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = docs.schema["key"].dataType
     known, classes, counts, seed = _classes(docs, seed)
     frequencies = docs.sparkSession.sparkContext.broadcast(counts)
     prefixes = durable(_runs(_prefixes(docs, frequencies, seed, threshold), threshold), "op9-runs")
@@ -468,15 +467,20 @@ def similar_components(docs: DataFrame, text: str = "text", key: str = "doc_id",
     placed_ids = durable(of_class.join(ids, "root").select("node", "component_id"), "op9-ids")
     free(first, second, final, classes)
     out = known.join(placed_ids, "node", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).cast(kind)
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def near_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, of which each component keeps the one whose key names it. Rows of a null key and repeated rows of a kept key stay."""
-    found = similar_components(docs, text, key, threshold).filter(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    gone = durable(found, "op9-gone")
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """The rows of docs, all columns, of which each component keeps the one of the smallest key.
+
+    Rows are told apart by key and text: a null key comes after all others, and of rows that share
+    a key the one stays whose text has the smaller hash. Rows that share both stay or go together.
+    """
+    identity = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash"))
+    found = similar_components(docs.select(identity.alias("id"), F.col(text).alias("text")), "text", "id", threshold)
+    gone = durable(found.filter("id <> component_id").select(F.col("id.key").alias("_gone"), F.col("id.hash").alias("_hash")).distinct(), "op9-gone")
+    return docs.join(gone, docs[key].eqNullSafe(gone["_gone"]) & (F.xxhash64(docs[text]) == gone["_hash"]), "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
