@@ -9,9 +9,9 @@ stays if the score is THRESHOLD or more. N-grams are a word, a word and the next
 and the last two characters of a word, each hashed to one of BUCKETS buckets.
 
 The corpus counts cover every document and the target all trusted ones; both are summed in each
-partition before the shuffle. Trusted documents are found by a semi-join on the key: Spark sends
-the keys to all where they are few, and otherwise moves rows by key. The BUCKETS weights go through
-the driver into the plan as a constant, whose size depends on nothing else.
+partition before the shuffle. Trusted documents are found by a semi-join on the key: the keys are
+sent to all tasks if they are SENT_BYTES or less, else rows move by key. The result is the same. The
+BUCKETS weights go through the driver into the plan as a constant, whose size depends on nothing else.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from relengine.llm.common import table, words
 BUCKETS = 1 << 14
 #: N-grams that are added to the target, by the shares that the corpus has of BUCKETS buckets.
 PRIOR = 8 * BUCKETS
+#: Bytes of trusted keys that are sent to all tasks at most.
+SENT_BYTES = 16 << 20
 #: Least mean weight of a document that stays. Clean text has about 0, symbols or capitals at every word below -1.
 THRESHOLD = -0.2
 #: Words of a window whose repeats are counted, and least words of a document.
@@ -57,7 +59,9 @@ def weights(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     if prior is None:
         prior = PRIOR if buckets == BUCKETS else 0
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    good = rows.join(trusted.select(F.col(key).alias("_key")), "_key", "left_semi")
+    keys = trusted.select(F.col(key).alias("_key")).filter("_key is not null").distinct()
+    size = keys.agg(F.sum(F.octet_length(F.col("_key").cast("string")) + 8)).first()[0] or 0
+    good = rows.join(F.broadcast(keys) if size <= SENT_BYTES else keys, "_key", "left_semi")
     counts = _counts(rows, "_text", buckets, "n").join(_counts(good, "_text", buckets, "g"), "b", "left")
     n_of, g_of = [0] * buckets, [0] * buckets
     for r in counts.collect():  # BUCKETS rows at most

@@ -182,8 +182,10 @@ def test_rules_odd(spark, odd, none):
     assert quality_filter(none, keys).count() == 0 and quality_filter(odd, keys.limit(0)).count() >= 0
 
 
-def test_every_trusted_row_counts(spark):
-    """No trusted row is left out, however many there are."""
+@pytest.mark.parametrize("sent", [16 << 20, 0])
+def test_every_trusted_row_counts(spark, monkeypatch, sent):
+    """No trusted row is left out, however many there are, whether their keys are sent or rows move."""
+    monkeypatch.setattr("relengine.llm.op5_quality_rules.SENT_BYTES", sent)
     rows = [(i, f"common w{i % 7}") for i in range(30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     every = weights(docs, docs.select("doc_id"), buckets=64)
