@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -138,3 +139,13 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             upto = max(at + 1, int(ends.searchsorted(before + most, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: workers wait for other tasks, and what they keep, others lack."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

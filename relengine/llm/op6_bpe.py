@@ -36,9 +36,9 @@ from relengine.llm.pieces import LONG, PieceTable, chunks, spread
 from relengine.llm.vocabulary import Vocabulary, default_path, vocabulary
 
 #: Pairs of tokens of which a worker remembers whether they are compatible; the table starts anew beyond that.
-PAIRS = 1 << 19
+PAIRS = 1 << 17
 #: Bytes of text that go to ids and back at once. Each byte takes some 30 bytes of working memory on the way.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 768 << 10
 
 
 class Backtracking:

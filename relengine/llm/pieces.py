@@ -3,7 +3,8 @@
 The pre-tokenizer of these vocabularies never puts a space behind another character of the same
 pre-token, unless in a run of white space. So a text may be cut before every space that a
 character other than white space follows: the pieces' ids, one after another, are the text's ids.
-Pieces repeat, so each is encoded once for each worker and kept in a table of bounded size.
+Pieces repeat, so each worker keeps what it has encoded in a table of bounded size. Most pieces of a
+corpus come once or twice: where room is needed, those that came more often stay.
 
 Special strings are no pre-tokens of that kind; vocabulary.py takes only such that no cut falls into.
 """
@@ -22,8 +23,8 @@ UNSAFE = re.compile(r" (?:\s|\Z)")
 CUT = re.compile(r"(?= \S)")
 #: Longer texts are cut at a safe place first, so that no step holds more than this many characters in pieces.
 LONG = 1 << 18
-#: Pieces and characters in pieces that a table holds before it starts anew, beyond what one slice of texts needs.
-PIECES, PIECE_CHARS = 400_000, 16 << 20
+#: Pieces and characters in pieces that a table holds before it makes room, beyond what one slice of texts needs.
+PIECES, PIECE_CHARS = 160_000, 12 << 20
 
 
 def chunks(text: str, most: int = LONG) -> list[str]:
@@ -57,14 +58,25 @@ class PieceTable:
 
     def __init__(self, encode: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray]], most: int = PIECES, most_chars: int = PIECE_CHARS):
         self.encode_pieces, self.most, self.most_chars = encode, most, most_chars
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.int32)
-        self.used = self.chars = 0
-        self.starts = np.empty(0, np.int64)
-        self.lens = np.empty(0, np.int64)
+        self._fill([], np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int32))
+
+    def _fill(self, pieces: list[str], ids: np.ndarray, lens: np.ndarray, hits: np.ndarray) -> None:
+        self.index: dict[str, int] = dict(zip(pieces, range(len(pieces)), strict=True))
+        self.chars = sum(map(len, pieces))
+        self.ids, self.used = ids, len(ids)
+        self.starts, self.lens, self.hits = np.cumsum(lens) - lens, lens, hits
+
+    def _make_room(self, fresh: int) -> None:
+        """Lets go of pieces that came only once since room was made last, and of the rarer ones where these are too many."""
+        if len(self.index) + fresh <= self.most and self.chars <= self.most_chars:
+            return
+        pieces = list(self.index)
+        stay = np.argsort(-self.hits, kind="stable")[: self.most // 2]
+        stay = np.sort(stay[self.hits[stay] > 1])
+        sizes = np.cumsum([len(pieces[i]) for i in stay]) if len(stay) else np.empty(0)
+        stay = stay[: int(np.searchsorted(sizes, self.most_chars // 2))]
+        lens = self.lens[stay]
+        self._fill([pieces[i] for i in stay], self.ids[spread(self.starts[stay], lens)], lens, self.hits[stay] // 2)
 
     def codes(self, pieces: Sequence[str]) -> np.ndarray:
         """The rows of the pieces in this table; pieces that it lacks are added."""
@@ -78,6 +90,7 @@ class PieceTable:
             self.ids[self.used : self.used + len(ids)] = ids
             self.starts = np.concatenate([self.starts, self.used + np.cumsum(lens) - lens])
             self.lens = np.concatenate([self.lens, lens])
+            self.hits = np.concatenate([self.hits, np.zeros(len(fresh), np.int32)])
             self.used += len(ids)
             self.chars += sum(map(len, fresh))
             self.index.update(zip(fresh, range(first, first + len(fresh)), strict=True))
@@ -104,17 +117,22 @@ class PieceTable:
             firsts[i] = ""
         parts = [[p for part in chunks(plain[i]) for p in CUT.split(part)] for i in odd]
         # Room is made before anything is added: codes of one slice are of one table.
-        if len(self.index) + len(others) + len(firsts) + sum(map(len, parts)) > self.most or self.chars > self.most_chars:
-            self._clear()
+        every = (others, firsts, *parts)
+        if len(self.index) + sum(map(len, every)) > self.most or self.chars > self.most_chars:
+            known = self.index.__contains__
+            self._make_room(sum(len(own) - sum(map(known, own)) for own in every))
         codes = self.codes(others)[coded.indices.to_numpy()]
         codes[ends[:-1]] = self.codes(firsts)
         if not odd:
+            self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
             return codes, ends
         runs, lens, at = [], np.diff(ends), 0
         for i, own in zip(odd, map(self.codes, parts), strict=True):
             runs += [codes[at : ends[i]], own]
             at, lens[i] = ends[i + 1], len(own)
-        return np.concatenate([*runs, codes[at:]]), np.concatenate([[0], np.cumsum(lens)])
+        codes = np.concatenate([*runs, codes[at:]])
+        self.hits += np.bincount(codes, minlength=len(self.hits)).astype(np.int32)
+        return codes, np.concatenate([[0], np.cumsum(lens)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (no nulls), and where each text's begin, one more at the end."""
