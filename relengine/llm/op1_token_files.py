@@ -32,6 +32,10 @@ from relengine.llm.vocabulary import default_path, vocabulary
 #: Pieces that are joined to one text for the library.
 TOGETHER = 400
 CUT_BEFORE = re.compile(r" \S")
+#: Bytes of text that are encoded at once: more at a time look up fewer pieces, and take more memory.
+STEP_BYTES = 4 << 20
+#: Pieces and their characters that a worker remembers: fewer of them are encoded again, and the encoder is what takes time.
+PIECES, PIECE_CHARS = 400_000, 16 << 20
 #: Written after each document's ids.
 END = 0
 #: Bytes of a row group and of a page, and rows of a page at most.
@@ -65,7 +69,7 @@ def _pieces(path: str) -> PieceTable:
         bounds = np.searchsorted(np.cumsum(sizes[ids]), ends, side="left") + 1
         return ids, np.diff(bounds, prepend=0).astype(np.int64)
 
-    return PieceTable(encode)
+    return PieceTable(encode, PIECES, PIECE_CHARS)
 
 
 def _encoded(rows: DataFrame, text: str, key: str, path: str) -> DataFrame:
@@ -74,7 +78,7 @@ def _encoded(rows: DataFrame, text: str, key: str, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at = TaskContext.get().partitionId(), 0
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, STEP_BYTES):
             ids, bounds = _pieces(path).encode(pc.fill_null(batch.column(text).cast(pa.string()), ""))
             ids = np.insert(ids, bounds[1:], END).astype(np.int32)
             bounds = bounds + np.arange(len(bounds))
