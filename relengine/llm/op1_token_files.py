@@ -13,7 +13,6 @@ its place in the shard and the sum of the shards before, which come from the cou
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
@@ -26,16 +25,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from relengine.llm.common import scratch_path, slices, table
-from relengine.llm.pieces import PieceTable
-from relengine.llm.vocabulary import default_path, vocabulary
+from relengine.llm.pieces import PieceColumns
+from relengine.llm.vocabulary import Vocabulary, default_path
 
-#: Pieces that are joined to one text for the library.
-TOGETHER = 400
-CUT_BEFORE = re.compile(r" \S")
+#: Pieces that are joined to one text for the library, and such texts that it gets at once.
+TOGETHER, AT_ONCE = 400, 64
 #: Bytes of text that are encoded at once: more at a time look up fewer pieces, and take more memory.
 STEP_BYTES = 4 << 20
-#: Pieces and their characters that a worker remembers: fewer of them are encoded again, and the encoder is what takes time.
-PIECES, PIECE_CHARS = 400_000, 16 << 20
+#: Pieces and their bytes that a worker remembers: fewer of them are encoded again, and the encoder is what takes time.
+PIECES, PIECE_BYTES = 400_000, 16 << 20
 #: Written after each document's ids.
 END = 0
 #: Bytes of a row group and of a page, and rows of a page at most.
@@ -43,7 +41,7 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 16 << 20, 1 << 20, 5_000
 
 
 @lru_cache(maxsize=2)
-def _pieces(path: str) -> PieceTable:
+def _pieces(path: str) -> PieceColumns:
     """Pieces as the tokenizers library encodes them: many pieces at once, as one text that is cut at safe places only."""
     import os
 
@@ -53,23 +51,27 @@ def _pieces(path: str) -> PieceTable:
     library = Tokenizer.from_file(path)
     library.no_truncation()
     library.no_padding()
-    sizes = np.diff(vocabulary(path).offsets[1])
+    sizes = np.diff(Vocabulary(path).offsets[1])  # the rest of it is not kept
 
-    def alone(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in library.encode_batch(list(pieces), add_special_tokens=False)]
-        return np.array([i for x in found for i in x], np.int32), np.array([len(x) for x in found], np.int64)
+    def each(texts: Sequence[str]) -> Iterator[np.ndarray]:
+        for i in range(0, len(texts), AT_ONCE):
+            for found in library.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False):
+                yield np.array(found.ids, np.int32)
 
-    def encode(pieces: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    def alone(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.empty(0, np.int32), *each(texts.to_pylist())]
+        return np.concatenate(found), np.array(list(map(len, found[1:])), np.int64)
+
+    def together(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """A piece that begins with a space and another character than white space may follow any other: the cut between them is safe."""
-        if not all(map(CUT_BEFORE.match, pieces)):
-            return alone(pieces)
-        groups = ["".join(pieces[i : i + TOGETHER]) for i in range(0, len(pieces), TOGETHER)]
-        ids = np.concatenate([np.array(x.ids, np.int32) for x in library.encode_batch_fast(groups, add_special_tokens=False)])
-        ends = np.cumsum(pc.binary_length(pa.array(pieces, pa.large_string())).to_numpy())
-        bounds = np.searchsorted(np.cumsum(sizes[ids]), ends, side="left") + 1
-        return ids, np.diff(bounds, prepend=0).astype(np.int64)
+        bounds = pa.array([*range(0, len(pieces), TOGETHER), len(pieces)], pa.int32())
+        groups = pc.binary_join(pa.ListArray.from_arrays(bounds, pieces), " ").to_pylist()
+        ids = np.concatenate([np.empty(0, np.int32), *each([" " + x for x in groups])])
+        ends = np.cumsum(pc.binary_length(pieces).to_numpy().astype(np.int64) + 1)
+        upto = np.searchsorted(np.cumsum(sizes[ids]), ends, side="left") + 1
+        return ids, np.diff(upto, prepend=0).astype(np.int64)
 
-    return PieceTable(encode, PIECES, PIECE_CHARS)
+    return PieceColumns(alone, together, PIECES, PIECE_BYTES, STEP_BYTES)
 
 
 def _encoded(rows: DataFrame, text: str, key: str, path: str) -> DataFrame:
@@ -80,7 +82,7 @@ def _encoded(rows: DataFrame, text: str, key: str, path: str) -> DataFrame:
         shard, at = TaskContext.get().partitionId(), 0
         for batch in slices(batches, text, STEP_BYTES):
             ids, bounds = _pieces(path).encode(pc.fill_null(batch.column(text).cast(pa.string()), ""))
-            ids = np.insert(ids, bounds[1:], END).astype(np.int32)
+            ids = np.insert(ids, bounds[1:], END)
             bounds = bounds + np.arange(len(bounds))
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(np.diff(bounds), pa.int64()), pa.array(np.full(batch.num_rows, shard), pa.int32()), pa.array(at + bounds[:-1], pa.int64()), lists], names=[key, "n_tokens", "shard", "shard_start", "ids"])

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 #: A space that is no safe place to cut: white space or the end follows.
 UNSAFE = re.compile(r" (?:\s|\Z)")
 CUT = re.compile(r"(?= \S)")
+#: The same for what follows a space, as Arrow's expressions have it.
+UNSAFE_AFTER = r"^(?:\z|[\s\x0b\x1c-\x1f\x{85}\p{Z}])"
 #: Longer texts are cut at a safe place first, so that no step holds more than this many characters in pieces.
 LONG = 1 << 18
 #: Pieces and characters in pieces that a table holds before it makes room, beyond what one slice of texts needs.
@@ -140,3 +142,89 @@ class PieceTable:
         lens = self.lens[codes]
         upto = np.concatenate([[0], np.cumsum(lens)])
         return self.ids[spread(self.starts[codes], lens)], upto[ends]
+
+
+class PieceColumns:
+    """The same as PieceTable, but all pieces of a step are handled as columns: none becomes a Python object unless it is to be encoded.
+
+    A piece stands here without the space that it begins with; a text's first piece, which begins
+    with none, has one before it. So the two never look alike: no other piece has white space behind its space.
+    firsts: gives the ids of each of some texts as (all ids, number of each), others: the same for pieces, without their spaces.
+    """
+
+    def __init__(self, firsts: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], others: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int, most_bytes: int, step: int):
+        self.encode_firsts, self.encode_others, self.most, self.most_bytes, self.step = firsts, others, most, most_bytes, step
+        self.pieces, self.lists, self.hits = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32())), np.empty(0, np.int64)
+
+    def _make_room(self) -> None:
+        """Lets go of pieces that came only once since room was made last, and of the rarer ones where these are too many."""
+        sizes = pc.binary_length(self.pieces).to_numpy()
+        if len(sizes) <= self.most and sizes.sum(dtype=np.int64) <= self.most_bytes:
+            return
+        stay = np.argsort(-self.hits, kind="stable")[: self.most // 2]
+        stay = stay[self.hits[stay] > 1]
+        stay = np.sort(stay[np.cumsum(sizes[stay], dtype=np.int64) <= self.most_bytes // 2])
+        kept = pa.array(stay)
+        self.pieces, self.lists, self.hits = self.pieces.take(kept), self.lists.take(kept), self.hits[stay] // 2
+
+    def _rows(self, pieces: pa.Array) -> np.ndarray:
+        """The rows of the pieces, all different, in this table; pieces that it lacks are added. Firsts come last."""
+        found = pc.index_in(pieces, value_set=self.pieces)
+        missing = found.is_null()
+        rows = found.fill_null(0).to_numpy()
+        if found.null_count:
+            fresh = pieces.filter(missing)
+            n = len(fresh) - (pc.sum(pc.starts_with(fresh, " ")).as_py() or 0)
+            ids, lens = map(np.concatenate, zip(self.encode_others(fresh.slice(0, n)), self.encode_firsts(pc.utf8_slice_codeunits(fresh.slice(n), 1)), strict=True))
+            rows = rows.copy()
+            rows[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.pieces), len(self.pieces) + len(fresh))
+            bounds = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+            self.pieces = pa.concat_arrays([self.pieces, fresh])
+            self.lists = pa.concat_arrays([self.lists, pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids, pa.int32()))])
+            self.hits = np.concatenate([self.hits, np.zeros(len(fresh), np.int64)])
+        return rows
+
+    def _parts(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Different pieces, firsts last, which of them the texts are made of, and where each text's begin (one more at the end)."""
+        split = pc.split_pattern(texts, " ")
+        ends = split.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        pieces, codes = coded.dictionary, coded.indices.to_numpy().copy()
+        unsafe = pc.match_substring_regex(pieces, UNSAFE_AFTER).to_numpy(zero_copy_only=False)[codes]
+        unsafe[ends[:-1]] = False
+        if unsafe.any():
+            # Words behind a space that is no safe place to cut belong to the piece before.
+            heads = np.flatnonzero(~unsafe)
+            sizes = np.diff(heads, append=len(codes))
+            many = np.flatnonzero(sizes > 1)
+            bounds = np.concatenate([[0], np.cumsum(sizes[many])]).astype(np.int32)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words.take(pa.array(spread(heads[many], sizes[many])))), " ").dictionary_encode()
+            codes, ends = codes[heads], np.searchsorted(heads, ends)
+            codes[many] = len(pieces) + joined.indices.to_numpy()
+            pieces = pa.concat_arrays([pieces, joined.dictionary])
+        firsts = pc.binary_join_element_wise("", pieces.take(pa.array(codes[ends[:-1]])), " ").dictionary_encode()
+        codes[ends[:-1]] = len(pieces) + firsts.indices.to_numpy()
+        return pa.concat_arrays([pieces, firsts.dictionary]), codes, ends
+
+    def _step(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces, codes, ends = self._parts(texts)
+        times = np.bincount(codes, minlength=len(pieces))
+        used = times > 0
+        rows = self._rows(pieces.filter(pa.array(used)))
+        self.hits[rows] += times[used]
+        place = np.zeros(len(pieces), np.int32)
+        place[used] = rows
+        lists = self.lists.take(pa.array(place[codes]))
+        self._make_room()
+        return lists.flatten().to_numpy(), lists.offsets.to_numpy()[ends].astype(np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), and where each text's begin, one more at the end. A text that is longer than a step stands alone."""
+        if not len(texts):
+            return np.empty(0, np.int32), np.zeros(1, np.int64)
+        if len(texts) > 1 or len(texts[0].as_buffer()) <= self.step:
+            return self._step(texts)
+        ids = np.concatenate([self._step(pa.array([part]))[0] for part in chunks(texts[0].as_py(), self.step)])
+        return ids, np.array([0, len(ids)])

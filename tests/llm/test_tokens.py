@@ -2,16 +2,17 @@
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from relengine.llm.op1_token_files import read_digests, read_starts, write_token_files
+from relengine.llm.op1_token_files import _pieces, read_digests, read_starts, write_token_files
 from relengine.llm.op6_bpe import bpe_decode, bpe_encode, bpe_round_trip, coder
 from relengine.llm.op8_token_counts import count_tokens
-from relengine.llm.pieces import CUT, chunks
+from relengine.llm.pieces import CUT, UNSAFE, UNSAFE_AFTER, chunks
 from relengine.llm.vocabulary import default_path
 
 
@@ -157,3 +158,54 @@ def test_balanced_batches():
     sizes = [sum(map(len, b.column("text").to_pylist())) for b in got]
     assert all(n <= 1000 or b.num_rows == 1 for n, b in zip(sizes, got, strict=True)) and all(a + b > 1000 for a, b in zip(sizes, sizes[1:], strict=False))
     assert list(balanced(iter([]))) == []
+
+
+@pytest.fixture
+def columns():
+    return _pieces.__wrapped__(default_path())
+
+
+def test_unsafe_cuts_are_the_same_for_arrow():
+    after = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    got = pa.compute.match_substring_regex(pa.array(["", *after, "a "]), UNSAFE_AFTER).to_pylist()
+    assert got == [True, *(bool(UNSAFE.search(" " + x + "a")) for x in after), False]
+
+
+@pytest.mark.parametrize("most, step", [(400_000, 8 << 20), (30, 200)])
+def test_columns_of_pieces(columns, rows, library, most, step):
+    columns.most, columns.step = most, step
+    rng = random.Random(8)
+    letters = ["a", "e", "in", "ing", " ", " ", "the", "\n", ".", "1", "é", "\t", "日", "\u3000", "\x1c", "😀", "'s", "  ", "\xa0", "<|endoftext|>"]
+    texts = ["".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(400)] + [t or "" for _, t, *_ in rows] + ["", " ", "  ", "a", " a", "a ", "  a  "]
+    for part in (texts, texts[::-1], [*texts[:3], "", *texts[-9:]], *([t] for t in texts), []):
+        ids, bounds = columns.encode(pa.array(part, pa.string()))
+        assert len(bounds) == len(part) + 1 and bounds[0] == 0 and bounds[-1] == len(ids)
+        if len(part) != 1 or len(part[0]) > 100:
+            for i, t in enumerate(part):
+                assert ids[bounds[i] : bounds[i + 1]].tolist() == encoded(library, t), t
+        assert len(columns.pieces) == len(columns.lists) == len(columns.hits) <= most
+
+
+def test_columns_keep_pieces_that_come_again(columns):
+    columns.most = 100
+    for i in range(30):
+        columns.encode(pa.array([" ".join(["x", *(f"same{k} same{k}" for k in range(20)), *(f"new{i}x{k}" for k in range(30))])]))
+        assert len(columns.pieces) <= 100
+    assert {f"same{k}" for k in range(20)} <= set(columns.pieces.to_pylist())
+
+
+def test_no_python_call_for_each_piece(columns):
+    rng = random.Random(9)
+    texts = pa.array([" ".join(f"{rng.choice('abc')}{rng.randrange(10**9)}" for _ in range(1000)) for _ in range(20)])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        columns.encode(texts)
+    finally:
+        sys.setprofile(None)
+    assert calls < 4000  # 20,000 pieces
